@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm import chat, licenses, lines, packing, quality, toxicity
+from lamella.llm import chat, licenses, lines, minhash, packing, quality, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,6 +43,23 @@ FROM k LEFT JOIN bad ON k.k = bad.b GROUP BY doc_id
 """
 
 
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_read(spark, sf_dir, "embeddings"), k=10)
+
+
+OP4_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -98,19 +115,26 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licenses(_read(spark, sf_dir, "documents")).drop("detections")
 
 
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_read(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
     "op3_line_dedup": op3_line_dedup,
+    "op4_top_k": op4_top_k,
     "op5_packing": op5_packing,
     "op6_toxicity": op6_toxicity,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_license_scan": op8_license_scan,
+    "op9_minhash_dedup": op9_minhash_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES: dict[str, str] = {
     "op3_line_dedup": OP3_SQL,
+    "op4_top_k": OP4_SQL,
     "op7_chat_formatting": OP7_SQL,
 }
