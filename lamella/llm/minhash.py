@@ -132,7 +132,7 @@ def star_pairs(bands: DataFrame, hubs: int) -> DataFrame:
     salt = lambda i: F.xxhash64("b", F.lit(i))
     small = bands.groupBy("b").agg(F.count("*").alias("c"), *(F.min(F.col("k").bitwiseXOR(salt(i))).alias(f"h{i}") for i in range(hubs)))
     found = small.where("c > 1").select("b", F.array_distinct(F.array(*(F.col(f"h{i}").bitwiseXOR(salt(i)) for i in range(hubs)))).alias("hubs"))
-    stars = bands.join(table(found, "hubs"), "b").select("k", F.explode("hubs").alias("h")).where("k <> h")
+    stars = bands.join(table(found, "hubs").hint("merge"), "b").select("k", F.explode("hubs").alias("h")).where("k <> h")
     return stars.select(F.least("k", "h").alias("a"), F.greatest("k", "h").alias("b")).distinct()
 
 
@@ -157,7 +157,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, *, words: int, percent: int) -
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     named = lambda k, t: texts.select(F.col("k").alias(k), F.col("t").alias(t))
-    both = pairs.join(named("b", "tb"), "b").join(named("a", "ta"), "a").select("a", "b", "ta", "tb")
+    both = pairs.join(named("b", "tb").hint("merge"), "b").join(named("a", "ta").hint("merge"), "a").select("a", "b", "ta", "tb")
     return both.mapInArrow(run, pairs.select("a", "b").schema)
 
 
@@ -206,22 +206,24 @@ def near_duplicates(
     null id is linked with nothing and its component is null, kept true. Null and empty texts, or texts without
     words, have no shingles and are linked with nothing. An empty table gives an empty result. Other columns are
     ignored.
+
+    Joins carry hints: the sides grow with the input, so the plan is the same at every size.
     """
     docs = docs.select(F.col(doc_id).cast("bigint").alias("k"), F.col(text).alias("t"))
     signed = table(signatures(docs, "t", "k", words=words, bands=bands, rows=rows), "signed")
     named = signed.where("k is not null and n > 0")
     classes = table(named.groupBy("ha", "hb").agg(F.min("k").alias("rep"), F.count("*").alias("copies")).where("copies > 1"), "classes")
-    member = named.select("k", "ha", "hb", "keys").join(classes, ["ha", "hb"], "left").select("k", F.coalesce("rep", "k").alias("rep"), "keys")
+    member = named.select("k", "ha", "hb", "keys").join(classes.hint("merge"), ["ha", "hb"], "left").select("k", F.coalesce("rep", "k").alias("rep"), "keys")
     reps = member.where("k = rep")
     banded = reps.select("k", F.explode("keys").alias("b"))
     pairs = table(star_pairs(banded, hubs), "pairs")
     wanted = pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b"))).distinct()
-    texts = table(docs.join(wanted, "k", "left_semi").dropDuplicates(["k"]), "texts")
+    texts = table(docs.join(wanted.hint("shuffle_hash"), "k", "left_semi").dropDuplicates(["k"]), "texts")
     links = confirmed(pairs, texts, words=words, percent=percent)
     # Copies and repeated ids link as they are: (representative, copy).
     same = member.where("k <> rep").select(F.col("rep").alias("a"), F.col("k").alias("b"))
     at = components(links.union(same))
-    out = signed.select("k", "n").join(at, "k", "left")
+    out = signed.select("k", "n").join(at.hint("merge"), "k", "left")
     component = F.coalesce("component", "k")
     return out.select(F.col("k").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("k"), F.lit(True)).alias("kept"))
 
