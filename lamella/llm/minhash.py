@@ -3,8 +3,8 @@
 A document's shingles are hashed once; the hash's high part names one of ``bins`` bins, the smallest hash in a bin is
 its value. Empty bins borrow by optimal densification: a second hash of (bin, attempt) picks the donor. Bands of
 values make buckets. In a bucket, up to ``hubs`` members chosen by hash are joined to every member: stars, so pairs
-grow with the bucket's size and not with its square. Each band has hubs of its own, so that a pair meets in some
-bucket one of whose hubs is one of the two. Pairs are confirmed on full shingle sets.
+grow with the bucket's size and not with its square. Pairs are confirmed on full shingle sets: first those of each
+bucket's smallest id, then, of those with the bucket's other hubs, the ones that lie across components so far.
 """
 
 from __future__ import annotations
@@ -124,16 +124,18 @@ def signatures(docs: DataFrame, text: str, doc_id: str, *, words: int, bands: in
 
 
 def star_pairs(bands: DataFrame, hubs: int) -> DataFrame:
-    """Distinct pairs (a < b) of a hub and a member of its bucket. ``bands`` has b (bucket) and k (integer id).
+    """Distinct pairs (a < b) of a hub and a member of its bucket, and whether the hub is a ``first`` one. ``bands`` has
+    b (bucket) and k (integer id).
 
-    A hub is the id that is smallest after its bits are flipped by a hash of the bucket, so different buckets choose
-    different ones; minima combine on the map side, which keeps a very large bucket out of any single task.
+    A bucket's first hub is its smallest id, so that copies of one text meet the same hub in all their buckets. The
+    others are the ids that are smallest after their bits are flipped by a hash of the bucket, so different buckets
+    choose different ones. Minima combine on the map side, which keeps a very large bucket out of any single task.
     """
     salt = lambda i: F.xxhash64("b", F.lit(i))
-    small = bands.groupBy("b").agg(F.count("*").alias("c"), *(F.min(F.col("k").bitwiseXOR(salt(i))).alias(f"h{i}") for i in range(hubs)))
-    found = small.where("c > 1").select("b", F.array_distinct(F.array(*(F.col(f"h{i}").bitwiseXOR(salt(i)) for i in range(hubs)))).alias("hubs"))
-    stars = bands.join(table(found, "hubs").hint("merge"), "b").select("k", F.explode("hubs").alias("h")).where("k <> h")
-    return stars.select(F.least("k", "h").alias("a"), F.greatest("k", "h").alias("b")).distinct()
+    small = bands.groupBy("b").agg(F.count("*").alias("c"), F.min("k").alias("h0"), *(F.min(F.col("k").bitwiseXOR(salt(i))).alias(f"h{i}") for i in range(1, hubs)))
+    found = small.where("c > 1").select("b", F.array_distinct(F.array(F.col("h0"), *(F.col(f"h{i}").bitwiseXOR(salt(i)) for i in range(1, hubs)))).alias("hubs"))
+    stars = bands.join(table(found, "hubs").hint("merge"), "b").select("k", F.posexplode("hubs").alias("i", "h")).where("k <> h")
+    return stars.groupBy(F.least("k", "h").alias("a"), F.greatest("k", "h").alias("b")).agg(F.bool_or(F.col("i") == 0).alias("first"))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, *, words: int, percent: int) -> DataFrame:
@@ -199,11 +201,10 @@ def near_duplicates(
     100 * intersection >= percent * union; links are confirmed on full sets.
 
     Texts with equal word sequences are one class, represented by its smallest id; only classes take part in the
-    search. With the defaults a pair at similarity 0.8 shares no bucket with a probability of
-    6e-7, at 0.85 of 7e-10.
+    search. With the defaults a pair at similarity 0.8 shares no bucket with a probability of 6e-7, at 0.85 of 7e-10.
 
-    Ids are integers. Rows that repeat an id are one document in the links; of repeated ids every row is returned. A
-    null id is linked with nothing and its component is null, kept true. Null and empty texts, or texts without
+    Ids are integers. Rows that repeat an id are one document in the links, confirmed on the largest of its texts;
+    every row is returned. A null id is linked with nothing and its component is null, kept true. Null and empty texts, or texts without
     words, have no shingles and are linked with nothing. An empty table gives an empty result. Other columns are
     ignored.
 
@@ -218,13 +219,20 @@ def near_duplicates(
     banded = reps.select("k", F.explode("keys").alias("b"))
     pairs = table(star_pairs(banded, hubs), "pairs")
     wanted = pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b"))).distinct()
-    texts = table(docs.join(wanted.hint("shuffle_hash"), "k", "left_semi").dropDuplicates(["k"]), "texts")
-    links = confirmed(pairs, texts, words=words, percent=percent)
+    texts = table(docs.join(wanted.hint("shuffle_hash"), "k", "left_semi").groupBy("k").agg(F.max("t").alias("t")), "texts")
     # Copies and repeated ids link as they are: (representative, copy).
     same = member.where("k <> rep").select(F.col("rep").alias("a"), F.col("k").alias("b"))
+    links = confirmed(pairs.where("first"), texts, words=words, percent=percent)
     at = components(links.union(same))
-    out = signed.select("k", "n").join(at.hint("merge"), "k", "left")
-    component = F.coalesce("component", "k")
+    # What the first hubs have joined needs no further test: only pairs across components are left.
+    label = lambda c: at.select(F.col("k").alias(c), F.col("component").alias(f"c{c}")).hint("merge")
+    rest = pairs.where("not first").join(label("a"), "a", "left").join(label("b"), "b", "left")
+    rest = table(rest.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb"), "rest")
+    more = confirmed(rest.select("a", "b"), texts, words=words, percent=percent).join(rest.hint("merge"), ["a", "b"])
+    joined = components(more.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    out = signed.select("k", "n").join(at.hint("merge"), "k", "left").withColumn("c", F.coalesce("component", "k")).drop("component")
+    out = out.join(joined.select(F.col("k").alias("c"), F.col("component").alias("c2")).hint("merge"), "c", "left")
+    component = F.coalesce("c2", "c")
     return out.select(F.col("k").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("k"), F.lit(True)).alias("kept"))
 
 
