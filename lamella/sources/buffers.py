@@ -46,6 +46,13 @@ def to_row(t: Type, kind: T.DataType, v: object) -> object:
     return {f.name: to_row(t.member(f.name).type, f.dataType, v.get(f.name)) for f in kind.fields}
 
 
+def relaxed(kind: T.DataType) -> T.DataType:
+    """The type with everything nullable and without metadata, as Arrow results come back."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, relaxed(f.dataType)) for f in kind.fields])
+    return T.ArrayType(relaxed(kind.elementType)) if isinstance(kind, T.ArrayType) else kind
+
+
 def encoded(root: Obj, record: Column, options: codec.WriteOptions = codec.WriteOptions()) -> Column:
     """A struct column in wire form as buffers; one writer per task. Null stays null."""
 
@@ -61,7 +68,7 @@ def encoded(root: Obj, record: Column, options: codec.WriteOptions = codec.Write
 def decoded(root: Obj, buffer: Column, options: codec.ReadOptions = codec.ReadOptions(), *, strict: bool = False) -> Column:
     """Buffers as ``struct<value, error>``: the record in wire form, or the code of what is wrong. With ``strict`` the
     first damaged buffer fails the query. A null buffer has neither."""
-    kind = spark_type(root)
+    kind = relaxed(spark_type(root))
     both = T.StructType([T.StructField("value", kind), T.StructField("error", T.StringType())])
 
     @F.arrow_udf(both)
