@@ -143,15 +143,12 @@ def has_flag(c: Column, flag: int) -> Column:
     return c.bitwiseAND(F.lit(flag)) == flag
 
 
-_WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z0-9]+|[0-9]+")
-
-
 def identifier(name: str, style: str) -> str:
-    """An identifier in snake, camel, pascal or original style."""
-    words = [w.lower() for w in _WORD.findall(name)]
-    if style == "original" or not words:
-        return name
+    """An identifier in snake, camel, pascal or original style. Snake keeps acronyms together; camel and pascal change
+    the first letter only. Underscores around the name go."""
+    core = name.strip("_") or "value"
     if style == "snake":
-        return "_".join(words)
-    joined = "".join(w.capitalize() for w in words)
-    return joined if style == "pascal" else joined[0].lower() + joined[1:]
+        return re.sub(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", "_", core).lower()
+    if style == "camel":
+        return core[0].lower() + core[1:]
+    return core[0].upper() + core[1:] if style == "pascal" else name
