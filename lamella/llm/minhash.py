@@ -119,7 +119,7 @@ def signatures(docs: DataFrame, text: str, doc_id: str, *, words: int, bands: in
                     names=["k", "n", "ha", "hb", "keys"],
                 )
 
-    kind = docs.select(F.col(doc_id).alias("k"), F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("ha"), F.lit(0).cast("bigint").alias("hb"), F.array(F.lit(0).cast("bigint")).alias("keys")).schema
+    kind = "k bigint, n bigint, ha bigint, hb bigint, keys array<bigint>"
     return docs.select(F.col(doc_id).alias("k"), F.col(text).alias("t")).mapInArrow(run, kind)
 
 

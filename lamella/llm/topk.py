@@ -129,7 +129,7 @@ def top_k(
     The rows are range-partitioned by length into blocks of about ``block_rows``, queries into blocks of about
     ``query_rows``, and each pair of blocks is one bounded group. Null ids, and vectors that are null or hold null or
     non-finite components, take no part; vectors of different dimensions don't meet. Repeated rows are candidates
-    each, and one query. Fewer than k candidates give fewer rows; an empty table none. Other columns are ignored.
+    each, and one query. Scores beyond 64 bits end at their limits and tie there. Fewer than k candidates give fewer rows; an empty table none. Other columns are ignored.
     """
     spark = vectors.sparkSession
     picked = F.col(vec_id) % 100 == 0 if query is None else query

@@ -85,13 +85,11 @@ def _contexts(docs: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray
     """(bigram codes, distinct words before each, distinct words before each word) of documents given as ids with
     START in front. Kneser-Ney counts contexts, so a passage copied a hundred times counts as one."""
     none = np.zeros(0, np.int64)
-    two = np.concatenate([np.concatenate([[START * size + d[0]], d[:-1] * size + d[1:]]) for d in docs] or [none])
-    first = np.concatenate([np.arange(len(d)) == 0 for d in docs] or [none.astype(bool)])
+    two = np.concatenate([d[:-1] * size + d[1:] for d in docs] or [none])
+    first = np.concatenate([np.arange(len(d) - 1) == 0 for d in docs] or [none.astype(bool)])
     pairs, at = np.unique(two, return_inverse=True)
-    # a trigram is a bigram that follows another one; those of START stand for none
-    three = np.unique(at[:-1] * len(pairs) + at[1:]) if len(at) > 1 else none
-    follows = ~first[1:] if len(at) > 1 else none.astype(bool)
-    three = np.unique((at[:-1] * len(pairs) + at[1:])[follows]) if len(three) else none
+    # a trigram is a bigram that follows another one of its document
+    three = np.unique((at[:-1] * len(pairs) + at[1:])[~first[1:]])
     before_pair = np.bincount(three % max(1, len(pairs)), minlength=len(pairs))
     before_word = np.bincount(pairs % size, minlength=size)
     return pairs, before_pair, before_word
