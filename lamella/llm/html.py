@@ -11,7 +11,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from lamella.llm.common import slices
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^<>]*>|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>""", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _WORD = re.compile(r"\w")
@@ -45,7 +45,7 @@ ITEMS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table
 class Block:
     text: str
     tags: list[str]  # start and end tags met since the last block
-    around: tuple[str, ...]  # features of the elements around it, outermost first
+    around: tuple[str, ...]  # features of the elements around it, outermost first, each once
     linked: int = 0  # characters inside links
     words: int = 0
     kept: bool = field(default=False, compare=False)
@@ -67,10 +67,12 @@ def features(tag: str, attrs: str) -> tuple[str, ...]:
 def blocks(page: str) -> list[Block]:
     """All blocks of a page in order, by a forgiving scan: unclosed and stray tags do no harm."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, tuple[str, ...]]] = []  # open elements: name, features of it and all around it, each once
+    opened: Counter[str] = Counter()
     buffer: list[str] = []
     tags: list[str] = []
     linked = links = 0
+    endless: set[str] = set()  # raw elements that no end tag follows
     at, end = 0, len(page)
 
     def flush() -> None:
@@ -78,10 +80,14 @@ def blocks(page: str) -> list[Block]:
         text = " ".join("".join(buffer).split())
         buffer.clear()
         if text:
-            out.append(Block(text, tags, tuple(f for _, fs in stack for f in fs), linked, len(text.split())))
+            out.append(Block(text, tags, stack[-1][1] if stack else (), linked, len(text.split())))
             tags = []
         linked = 0
 
+    def close(i: int) -> None:
+        opened.subtract(n for n, _ in stack[i:])
+        del stack[i:]
+
     while at < end:
         m = _TAG.search(page, at)
         text = page[at : m.start() if m else end]
@@ -96,8 +102,10 @@ def blocks(page: str) -> list[Block]:
             continue
         closing = bool(m[1])
         if name in RAW and not closing:
-            if not m[3].rstrip().endswith("/"):
-                e = re.compile(rf"</{re.escape(name)}\s*[^>]*>", re.I).search(page, at)
+            if not m[3].rstrip().endswith("/") and name not in endless:
+                e = re.compile(rf"</{re.escape(name)}\s*[^<>]*>", re.I).search(page, at)
+                if not e:
+                    endless.add(name)
                 at = e.end() if e else (end if name in ("script", "style", "template", "svg") else at)
             continue
         if name in ("td", "th") or name == "br":
@@ -111,24 +119,25 @@ def blocks(page: str) -> list[Block]:
         if name in VOID:
             continue
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
+            if opened[name] > 0:
+                close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
             continue
         if name in ENDS_P and stack and stack[-1][0] == "p":
-            stack.pop()
-        if name in ITEMS:
+            close(len(stack) - 1)
+        if name in ITEMS and (opened[name] > 0 or (name in ("dt", "dd") and opened["dt"] + opened["dd"] > 0)):
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] in ITEMS[name]:
                     break
                 if stack[i][0] == name or {stack[i][0], name} == {"dt", "dd"}:
-                    del stack[i:]
+                    close(i)
                     break
         marked = features(name, m[3])
         if name in BLOCK or len(marked) > 1 or name in ("button", "label"):
             if not m[3].rstrip().endswith("/"):
-                stack.append((name, marked))
+                around = stack[-1][1] if stack else ()
+                new = tuple(f for f in marked if f not in around)
+                stack.append((name, around + new if new else around))
+                opened[name] += 1
     flush()
     return out
 

@@ -41,6 +41,15 @@ def test_weights_come_from_the_labelled_pages():
     assert good / total > 0.98
 
 
+@pytest.mark.parametrize("part", ["<a<a ", "<!", '<p x="', "<title>", "<p>x", "</div>", "<ul><li>x", "&", "<script "])
+def test_broken_pages_take_no_longer_than_their_length(part):
+    import time
+
+    began = time.perf_counter()
+    html.main_text(part * 60_000)
+    assert time.perf_counter() - began < 20
+
+
 def test_columns(spark):
     rows = [(1, "u", CASES["article"][0]), (2, None, None), (None, "u", ""), (4, "u", "<p>" + LONG + "</p>"), (4, "u", "<p>" + LONG + "</p>")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")

@@ -7,7 +7,7 @@ import pytest
 
 from lamella.llm import minhash, queries
 from tests.llm.helpers import DOCS, ODD, clashing, documents
-from tests.oracle import DATA
+from tests.oracle import DATA, connection, same
 
 UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -117,3 +117,7 @@ def test_densified_signatures_estimate_similarity():
             x, y = (signer.sign(np.unique(s)) for s in (a, b))
             error.append((x == y).mean() - len(np.intersect1d(a, b)) / len(np.union1d(a, b)))
     assert abs(np.mean(error)) < 0.03
+
+
+def test_query_matches_sql(spark):
+    same(queries.op9_minhash_dedup(spark, DATA), connection(), queries.OP9_SQL)

@@ -8,7 +8,7 @@ import pytest
 
 from lamella.llm import quality, queries
 from tests.llm.helpers import ODD, clashing, documents
-from tests.oracle import DATA
+from tests.oracle import DATA, connection, same
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -83,3 +83,7 @@ def test_filter_and_no_rows(spark):
     df = clashing(documents(spark, ODD))
     assert quality.keep_quality(df).columns == df.columns
     assert quality.quality(df.limit(0)).count() == 0 == quality.keep_quality(df.limit(0)).count()
+
+
+def test_query_matches_sql(spark):
+    same(queries.op10_quality_rules(spark, DATA), connection(), queries.OP10_SQL)
