@@ -33,15 +33,13 @@ def first_error(t: Type, c: Column) -> Column:
 def depths(edges: DataFrame, *, node: str = "node", parent: str = "parent", max_depth: int = 128) -> DataFrame:
     """Depth of every node below the roots (parent null: depth 0) of an adjacency table, and its error: TooDeep beyond
     ``max_depth`` or in a cycle, which has no root. Each level is one join of the frontier with the edges, so no group
-    is gathered; the frontier is checkpointed every 16 levels to keep the plan short."""
+    is gathered; every frontier is checkpointed, so that no level is worked out twice."""
     e = edges.select(F.col(node).alias("n"), F.col(parent).alias("p"))
-    level = e.where("p is null").select("n", F.lit(0).alias("depth"))
+    level = e.where("p is null").select("n", F.lit(0).alias("depth")).checkpoint()
     found, depth = level, 0
     while depth < max_depth and not level.isEmpty():
         depth += 1
-        level = e.join(level.select(F.col("n").alias("p")), "p").select("n", F.lit(depth).alias("depth"))
-        if depth % 16 == 0:
-            level = level.checkpoint()
+        level = e.join(level.select(F.col("n").alias("p")), "p").select("n", F.lit(depth).alias("depth")).checkpoint()
         found = found.union(level)
     reached = found.groupBy("n").agg(F.min("depth").alias("depth"))
     out = e.select("n").distinct().join(reached, "n", "left")
