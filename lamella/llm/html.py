@@ -25,7 +25,7 @@ from lamella.llm.common import slices
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^<>]*>|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>""", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
-_WORD = re.compile(r"\w")
+_HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)(?=(?:[^"']|"[^"]*"|'[^']*')*$)""")
 
 #: Elements whose content isn't text to a reader; it ends at their own end tag only.
 RAW = frozenset("script style noscript template title textarea iframe svg math object canvas select option xmp noembed noframes audio video".split())
@@ -51,15 +51,27 @@ class Block:
     kept: bool = field(default=False, compare=False)
 
 
+#: Words of a class name that make it say how a page is laid out, and those that make a header the content's own.
+LAYOUT_WORDS = frozenset("with has no layout without".split())
+CONTENT_WORDS = frozenset("article post entry content story".split())
+
+
 def features(tag: str, attrs: str) -> tuple[str, ...]:
-    """What an element is known by: its tag, and the words of its class, id, role and aria-label."""
+    """What an element is known by: its tag, and the words of its class, id, role and aria-label. The page's own
+    elements, and names that only tell a layout (``with-sidebar``), say nothing about their content."""
     found = [tag]
+    if tag in ("html", "body"):
+        return (tag,)
     for name, value in _ATTR.findall(attrs) if "=" in attrs else ():
         if name.lower() in ("class", "id", "role", "aria-label"):
-            found += [f".{p.lower()}" for p in _PART.findall(html.unescape(value.strip("\"'")))]
+            for one in html.unescape(value.strip("\"'")).split():
+                words = [p.lower() for p in _PART.findall(one)]
+                if LAYOUT_WORDS & set(words):
+                    continue
+                found += [f".{w}" for w in words if not (w == "header" and CONTENT_WORDS & set(words))]
         elif name.lower() == "aria-hidden" and "true" in value.lower():
             found.append(".hidden")
-    if re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attrs) or "display:none" in attrs.replace(" ", "").lower():
+    if _HIDDEN.search(attrs) or "display:none" in attrs.replace(" ", "").lower():
         found.append(".hidden")
     return tuple(found)
 

@@ -18,6 +18,8 @@ CASES = {
     "table": ("<article><table><tr><td>a</td><td>b</td></tr><tr><td>c</td></tr></table></article>", "a b\n\nc"),
     "only furniture": ("<body><nav>a</nav><footer>b</footer></body>", ""),
     "open script": ("<p>x</p><script>never ends <p>y</p>", "x"),
+    "layout names": ('<body class="has-sidebar"><div class="page with-sidebar"><div class="post"><div class="entry-header"><h1>Head</h1></div><p>Text here.</p></div><div class="left sidebar"><p>links and more</p></div></div>', "Head\n\nText here."),
+    "comment articles": ('<main><article><p>The story.</p></article><div class="comments"><article><p>me too</p></article></div></main>', "The story."),
     "hidden": ('<article><p>seen</p><p style="display: none">not</p><div hidden>nor</div></article>', "seen"),
 }
 
