@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lamella.functions import arrays, presence
 from lamella.model import Kind, Member, Obj, Scalar, Text, Vec, dictionary, fingerprint, own_fingerprint, reachable
-from lamella.queries import CUSTOMER_1, CUSTOMER_2, DOUBLE, EVENT, EVENT_OLD, INT, LONG, events, long, money, order_items, query, tables
+from lamella.queries import CUSTOMER_1, CUSTOMER_2, DOUBLE, EVENT, EVENT_OLD, INT, LONG, events, kinds_by_user, long, money, order_items, query, tables
 from lamella.sources import buffers, codec
 
 ITEM = Obj("Item", (Member("l_linenumber", INT), Member("l_partkey", LONG), Member("l_quantity", DOUBLE), Member("l_extendedprice", DOUBLE), Member("l_discount", DOUBLE), Member("l_returnflag", Text())))
@@ -159,14 +159,13 @@ def val7_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 NAMES = Obj("Names", (Member("k", LONG, keep=True), Member("d", dictionary(Text(), INT))))
 
 
-@query("map2_binary_order", "SELECT p_brand, count(DISTINCT p_name) AS n, min(p_name) AS first_key FROM part GROUP BY 1")
+@query("map2_binary_order", "SELECT user_id, count(DISTINCT event_type) AS n, min(event_type) AS first_key FROM events GROUP BY 1")
 def map2_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys are sorted while they are written, whatever order they come in."""
-    part = tables(spark, sf_dir)("part").groupBy("p_brand", "p_name").agg(F.min("p_size").alias("v"))
-    d = part.groupBy("p_brand").agg(F.collect_list("p_name").alias("keys"), F.collect_list("v").alias("values"))
-    record = F.struct(F.lit(1).cast("bigint").alias("k"), F.struct("keys", "values").alias("d"))
-    v = d.select("p_brand", buffers.decoded(NAMES, buffers.encoded(NAMES, record), strict=True)["value"].alias("v"))
-    return v.select("p_brand", long(F.size("v.d.keys")).alias("n"), F.get("v.d.keys", F.lit(0)).alias("first_key"))
+    d = kinds_by_user(spark, sf_dir).groupBy("user_id").agg(F.collect_list(F.struct("event_type", F.col("n").cast("int").alias("n"))).alias("e"))
+    record = F.struct(F.col("user_id").alias("k"), F.struct(F.col("e.event_type").alias("keys"), F.col("e.n").alias("values")).alias("d"))
+    v = d.select(buffers.decoded(NAMES, buffers.encoded(NAMES, record), strict=True)["value"].alias("v"))
+    return v.select(F.col("v.k").alias("user_id"), long(F.size("v.d.keys")).alias("n"), F.get("v.d.keys", F.lit(0)).alias("first_key"))
 
 
 @query("jsn_binary_json", """SELECT n_nationkey, '{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || CASE WHEN n_regionkey <> 0 THEN ',"n_regionkey":' || n_regionkey ELSE '' END || '}' AS json FROM nation""")

@@ -260,10 +260,10 @@ def arr14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lists.select("l_orderkey", total.cast("double").alias("total"))
 
 
-@query("arr15_string_list", "SELECT p_brand, count(*) AS n, CAST(sum(length(p_name)) AS BIGINT) AS chars, min(p_name) AS first FROM part GROUP BY 1")
+@query("arr15_string_list", "SELECT user_id, count(*) AS n, CAST(sum(length(event_type)) AS BIGINT) AS chars, min(event_type) AS first FROM events GROUP BY 1")
 def arr15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = tables(spark, sf_dir)("part").groupBy("p_brand").agg(F.array_sort(F.collect_list("p_name")).alias("a"))
-    return lists.select("p_brand", long(F.size("a")).alias("n"), F.aggregate("a", F.lit(0).cast("bigint"), lambda s, x: s + F.char_length(x)).alias("chars"), F.get("a", F.lit(0)).alias("first"))
+    lists = tables(spark, sf_dir)("events").groupBy("user_id").agg(F.array_sort(F.collect_list("event_type")).alias("a"))
+    return lists.select("user_id", long(F.size("a")).alias("n"), F.aggregate("a", F.lit(0).cast("bigint"), lambda s, x: s + F.char_length(x)).alias("chars"), F.get("a", F.lit(0)).alias("first"))
 
 
 @query("arr16_object_list", "SELECT o_orderkey, count(l_orderkey) FILTER (l_quantity > 25) AS n_large FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
@@ -275,8 +275,13 @@ def arr16(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part prices as dictionaries, one for each brand."""
-    return tables(spark, sf_dir)("part").groupBy("p_brand").agg(dictionaries.build(F.col("p_partkey"), F.col("p_retailprice")).alias("d"))
+    """Each customer's orders as a dictionary: order key to total price."""
+    return tables(spark, sf_dir)("orders").groupBy("o_custkey").agg(dictionaries.build(F.col("o_orderkey"), F.col("o_totalprice")).alias("d"))
+
+
+def kinds_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each user had each event type; counted before the entries are gathered."""
+    return tables(spark, sf_dir)("events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
 def sizes_by_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -284,16 +289,16 @@ def sizes_by_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy("p_brand").agg(dictionaries.build(F.col("p_size"), F.col("n")).alias("d"))
 
 
-@query("map1_build_sorted", "SELECT p_brand, count(*) AS n, min(p_partkey) AS first_key, max(p_partkey) AS last_key, arg_min(p_retailprice, p_partkey) AS first_value FROM part GROUP BY 1")
+@query("map1_build_sorted", "SELECT o_custkey, count(*) AS n, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key, arg_min(o_totalprice, o_orderkey) AS first_value FROM orders GROUP BY 1")
 def map1(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("d")
-    return prices(spark, sf_dir).select("p_brand", long(dictionaries.count(d)).alias("n"), F.get(d["keys"], F.lit(0)).alias("first_key"), F.element_at(d["keys"], -1).alias("last_key"), F.get(d["values"], F.lit(0)).alias("first_value"))
+    return prices(spark, sf_dir).select("o_custkey", long(dictionaries.count(d)).alias("n"), F.get(d["keys"], F.lit(0)).alias("first_key"), F.element_at(d["keys"], -1).alias("last_key"), F.get(d["values"], F.lit(0)).alias("first_value"))
 
 
-@query("map2_string_keys", "SELECT p_brand, true AS is_sorted, min(p_name) AS first_key, max(p_name) AS last_key FROM part GROUP BY 1")
+@query("map2_string_keys", "SELECT user_id, true AS is_sorted, min(event_type) AS first_key, max(event_type) AS last_key FROM events GROUP BY 1")
 def map2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = tables(spark, sf_dir)("part").groupBy("p_brand", "p_name").agg(F.min("p_partkey").alias("v")).groupBy("p_brand").agg(dictionaries.build(F.col("p_name"), F.col("v")).alias("d"))
-    return d.select("p_brand", dictionaries.is_sorted(F.col("d")).alias("is_sorted"), F.get("d.keys", F.lit(0)).alias("first_key"), F.element_at("d.keys", -1).alias("last_key"))
+    d = kinds_by_user(spark, sf_dir).groupBy("user_id").agg(dictionaries.build(F.col("event_type"), F.col("n")).alias("d"))
+    return d.select("user_id", dictionaries.is_sorted(F.col("d")).alias("is_sorted"), F.get("d.keys", F.lit(0)).alias("first_key"), F.element_at("d.keys", -1).alias("last_key"))
 
 
 @query("map3_int_keys", "SELECT p_brand, count(DISTINCT p_size) AS n, CAST(min(p_size) AS INTEGER) AS low, CAST(max(p_size) AS INTEGER) AS high FROM part GROUP BY 1")
@@ -320,29 +325,29 @@ def map6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(entries, "l_partkey", "left").select("l_orderkey", "l_linenumber", "l_partkey", "price")
 
 
-@query("map6_find_inline", "SELECT b.p_brand, p.p_retailprice AS price FROM (SELECT DISTINCT p_brand FROM part) b LEFT JOIN part p ON p.p_brand = b.p_brand AND p.p_partkey = 11")
+@query("map6_find_inline", "SELECT o_custkey, max(o_totalprice) FILTER (o_orderkey = 11) AS price FROM orders GROUP BY 1")
 def map6b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prices(spark, sf_dir).select("p_brand", dictionaries.find(F.col("d"), F.lit(11)).alias("price"))
+    return prices(spark, sf_dir).select("o_custkey", dictionaries.find(F.col("d"), F.lit(11)).alias("price"))
 
 
-@query("map7_lookup_strict", "SELECT p_brand, arg_min(p_retailprice, p_partkey) AS price FROM part GROUP BY 1")
+@query("map7_lookup_strict", "SELECT o_custkey, arg_min(o_totalprice, o_orderkey) AS price FROM orders GROUP BY 1")
 def map7(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("d")
-    return prices(spark, sf_dir).select("p_brand", dictionaries.at(d, F.get(d["keys"], F.lit(0))).alias("price"))
+    return prices(spark, sf_dir).select("o_custkey", dictionaries.at(d, F.get(d["keys"], F.lit(0))).alias("price"))
 
 
-@query("map8_fewer_values", "SELECT p_brand, CASE WHEN count(*) > 3 THEN NULL ELSE max(p_retailprice) END AS last_value, CASE WHEN count(*) <= 3 THEN arg_max(p_retailprice, p_partkey) END AS same FROM (SELECT p_brand, p_partkey, p_retailprice FROM part) GROUP BY 1 HAVING count(*) > 3")
+@query("map8_fewer_values", "SELECT o_custkey, CASE WHEN count(*) <= 3 THEN arg_max(o_totalprice, o_orderkey) END AS last_value FROM orders GROUP BY 1")
 def map8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = prices(spark, sf_dir).where(F.size("d.keys") > 3).withColumn("cut", F.struct("d.keys", F.slice("d.values", 1, 3).alias("values")))
-    last = dictionaries.find(F.col("cut"), F.element_at("cut.keys", -1))
-    return d.select("p_brand", last.alias("last_value"), last.alias("same"))
+    """Dictionaries that keep three values at most: a key beyond them is found without a value."""
+    d = prices(spark, sf_dir).withColumn("cut", F.struct("d.keys", F.slice("d.values", 1, 3).alias("values")))
+    return d.select("o_custkey", dictionaries.find(F.col("cut"), F.element_at("cut.keys", -1)).alias("last_value"))
 
 
-@query("map9_rebuild", "SELECT p_brand, least(count(*), 5) AS n, CAST(sum(CAST(p_retailprice AS DECIMAL(18,2))) FILTER (r <= 5) AS DOUBLE) AS total FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r FROM part) GROUP BY 1")
+@query("map9_rebuild", "SELECT o_custkey, least(count(*), 5) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) FILTER (r <= 5) AS DOUBLE) AS total FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders) GROUP BY 1")
 def map9(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = dictionaries.as_map(F.struct("d.keys", F.slice("d.values", 1, 5).alias("values")))
     total = F.aggregate(F.map_values("m"), F.lit(0).cast("decimal(28,2)"), lambda s, x: (s + money(x)).cast("decimal(28,2)"))
-    return prices(spark, sf_dir).withColumn("m", m).select("p_brand", long(F.size("m")).alias("n"), total.cast("double").alias("total"))
+    return prices(spark, sf_dir).withColumn("m", m).select("o_custkey", long(F.size("m")).alias("n"), total.cast("double").alias("total"))
 
 
 @query("map10_nested", "SELECT count(DISTINCT p_brand) AS n_outer, count(DISTINCT (p_brand, p_size)) AS n_inner, count(*) AS total FROM part")
