@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamella.llm.common import table
+from lamella.llm.common import partitions, table
 
 #: Rows of a bucket, and the local cosine threshold from which coordinates prune better than lengths.
 BUCKET, COORDINATE_FROM, FOCUS = 256, 0.8, 4
@@ -119,15 +119,16 @@ def top_k(
     query: Column | None = None,
     k: int = 10,
     scale: float = 1024.0,
-    block_rows: int = 4096,
-    query_rows: int = 1024,
+    block_numbers: int = 1 << 20,
+    query_numbers: int = 1 << 18,
 ) -> DataFrame:
     """For each query row, its k best other rows by integer inner product of ``quantised`` vectors: query_id, rank
     (from 1), vec_id, score; ties go to the smaller vec_id. ``query`` picks the query rows (default: ids divisible by
     100); all rows are candidates except those with the query's own id.
 
-    The rows are range-partitioned by length into blocks of about ``block_rows``, queries into blocks of about
-    ``query_rows``, and each pair of blocks is one bounded group. Null ids, and vectors that are null or hold null or
+    The rows are range-partitioned by length into blocks of about ``block_numbers`` components (less where there are
+    few rows, to use all cores), queries into blocks of about ``query_numbers``, and each pair of blocks is one bounded
+    group: the work of a stated query set against all rows. Null ids, and vectors that are null or hold null or
     non-finite components, take no part; vectors of different dimensions don't meet. Repeated rows are candidates
     each, and one query. Scores beyond 64 bits end at their limits and tie there. Fewer than k candidates give fewer rows; an empty table none. Other columns are ignored.
     """
@@ -136,11 +137,12 @@ def top_k(
     rows = vectors.select(F.col(vec_id).cast("bigint").alias("id"), quantised(F.col(vector), scale).alias("v"), picked.alias("q"))
     rows = rows.where("id is not null and v is not null").withColumn("len", F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     rows = table(rows, "vectors")
-    n = rows.agg(F.count("*"), F.count_if("q")).first()
-    dealt = rows.repartitionByRange(max(1, -(-n[0] // block_rows)), F.desc("len"), "id").withColumn("part", F.spark_partition_id())
+    n, asking, dim = (x or 0 for x in rows.agg(F.count("*"), F.count_if("q"), F.max(F.size("v"))).first())
+    blocks = max(1, -(-n * dim // block_numbers), min(partitions(spark), n // 1024))
+    dealt = rows.repartitionByRange(blocks, F.desc("len"), "id").withColumn("part", F.spark_partition_id())
     dealt = table(dealt.select("id", "v", "part", F.size("v").alias("dim")), "dealt")
     parts = (dealt.agg(F.max("part")).first()[0] or 0) + 1
-    groups = max(1, -(-n[1] // query_rows))
+    groups = max(1, -(-asking * dim // query_numbers))
     left = dealt.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     asked = rows.where("q").select("id", "v").dropDuplicates(["id", "v"]).withColumn("grp", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"))
     right = asked.select("id", "v", F.size("v").alias("dim"), "grp", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))

@@ -41,7 +41,7 @@ def test_random_vectors(spark, scale, k, dim):
     rows += [(5, None, 0), (7, [None] * dim, 0), (8, [float("nan")] * dim, 0), (9, [float("inf")] * dim, 0), (None, [1.0] * dim, 0), (200, [0.5] * dim, 0), (11, [0.0] * dim, 0), (300, [0.0] * dim, 0), (12, [1.0] * (dim + 1), 0)]
     df = clashing(spark.createDataFrame(rows, KIND))
     rows = [(i, e and [x if x is None else float(np.float32(x)) for x in e]) for i, e, _ in rows]
-    assert found(df, k=k, block_rows=64, query_rows=8) == brute(rows, k)
+    assert found(df, k=k, block_numbers=64 * dim, query_numbers=8 * dim) == brute(rows, k)
 
 
 def test_ties_go_to_smaller_ids(spark):
