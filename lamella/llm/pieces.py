@@ -84,6 +84,13 @@ class Vocabulary:
         #: Every beginning of a piece: (id or -1, score).
         self.nodes: dict[str, tuple[int, float]] = {p[:n]: (-1, 0.0) for p in self.ids for n in range(1, len(p) + 1)}
         self.nodes |= {p: (i, len(p) * -0.1 if self.kinds[i] == USER else self.scores[i]) for p, i in self.ids.items()}
+        #: The same as a tree by character, for ``short``: under None a node has the piece and score that end there.
+        self.tree: dict = {}
+        for p, i in self.ids.items():
+            node = self.tree
+            for ch in p:
+                node = node.setdefault(ch, {})
+            node[None] = self.nodes[p]
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == BYTE}
         self.value_of = {i: b for b, i in self.bytes.items()}
         self.unknown = next((i for i, k in enumerate(self.kinds) if k == UNKNOWN), 0)
@@ -153,20 +160,23 @@ class Vocabulary:
 
     def short(self, chunk: str) -> list[int]:
         """``search`` for a chunk that is a window of its own, all at once."""
-        n, get = len(chunk), self.nodes.get
+        n, tree = len(chunk), self.tree
         score, back = [0.0] + [float("-inf")] * n, [(0, -1)] * (n + 1)
         for at in range(n):
-            here, single = score[at], False
-            for end in range(at + 1, n + 1):
-                node = get(chunk[at:end])
+            here, node, end, single = score[at], tree, at, False
+            for ch in chunk[at:]:
+                node = node.get(ch)
                 if node is None:
                     break
-                piece, own = node
-                if piece >= 0:
+                end += 1
+                found = node.get(None)
+                if found is not None:
+                    piece, own = found
                     own += here
-                    single = single or end == at + 1
                     if own > score[end]:
                         score[end], back[end] = own, (at, piece)
+                    if end == at + 1:
+                        single = True
             if not single and here + self.unknown_score > score[at + 1]:
                 score[at + 1], back[at + 1] = here + self.unknown_score, (at, -1)
         return self._path(chunk, back, n)
