@@ -11,10 +11,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lamella.functions.text import value_json
-from lamella.model import Kind, Obj, Scalar, Struct, Text, Type, Union, Vec, spark_type
+from lamella.model import Kind, Obj, Scalar, Struct, Text, Type, Union, Vec, reachable, spark_type
 from lamella.sources import codec
 
 
+def holds_unsigned_64(root: Obj) -> bool:
+    """Whether a value below is a decimal in Spark; all others have one Python form on both sides."""
+
+    def here(t: Type) -> bool:
+        if isinstance(t, Struct):
+            return any(here(f) for _, f in t.fields)
+        return t.kind is Kind.UINT64
+
+    parts = []
+    for t in reachable(root):
+        parts += [m.type for m in t.all_members] if isinstance(t, Obj) else [t.element] if isinstance(t, Vec) else [t] if isinstance(t, Struct) else []
+    return any(here(t) for t in parts)
+
+
 def from_row(t: Type, v: object) -> object:
     """A Spark value (wire form, as Arrow gives it) as the codec takes it."""
     if v is None or isinstance(t, Text):
@@ -56,11 +70,16 @@ def relaxed(kind: T.DataType) -> T.DataType:
 def encoded(root: Obj, record: Column, options: codec.WriteOptions = codec.WriteOptions()) -> Column:
     """A struct column in wire form as buffers; one writer per task. Null stays null."""
 
+    convert = holds_unsigned_64(root)
+
     @F.arrow_udf("binary")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         writer = codec.Writer(options)
         for a in batches:
-            yield pa.array([None if v is None else writer.write(root, from_row(root, v)) for v in a.to_pylist()], pa.binary())
+            rows = a.to_pylist()
+            if convert:
+                rows = [from_row(root, v) for v in rows]
+            yield pa.array([None if v is None else writer.write(root, v) for v in rows], pa.binary())
 
     return run(record)
 
@@ -68,7 +87,7 @@ def encoded(root: Obj, record: Column, options: codec.WriteOptions = codec.Write
 def decoded(root: Obj, buffer: Column, options: codec.ReadOptions = codec.ReadOptions(), *, strict: bool = False) -> Column:
     """Buffers as ``struct<value, error>``: the record in wire form, or the code of what is wrong. With ``strict`` the
     first damaged buffer fails the query. A null buffer has neither."""
-    kind = relaxed(spark_type(root))
+    kind, convert = relaxed(spark_type(root)), holds_unsigned_64(root)
     both = T.StructType([T.StructField("value", kind), T.StructField("error", T.StringType())])
 
     @F.arrow_udf(both)
@@ -80,7 +99,7 @@ def decoded(root: Obj, buffer: Column, options: codec.ReadOptions = codec.ReadOp
             v, error = (None, None) if b is None else codec.try_decode(root, b, options)
             if strict and error:
                 raise codec.ReadError(error)
-            rows.append({"value": to_row(root, kind, v), "error": error})
+            rows.append({"value": to_row(root, kind, v) if convert else v, "error": error})
         return pa.array(rows, to_arrow_type(both))
 
     return run(buffer)
