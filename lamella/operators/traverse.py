@@ -10,9 +10,10 @@ from lamella.functions.arrays import gather
 
 def nest(parent: DataFrame, child: DataFrame, *, key: str, child_key: str, order: list[str], fields: list[str], to: str, keep_empty: bool = True) -> DataFrame:
     """``parent`` with its children as one ordered list in column ``to``. A parent without children has a null list
-    (``keep_empty``) or no row. Children are grouped before the join, so each parent row meets one row."""
+    (``keep_empty``) or no row. Children are grouped before the join, so each parent row meets one row; the lists keep
+    the partitioning by key that grouping gave them, and whatever is done with them next runs in as many tasks."""
     lists = child.groupBy(F.col(child_key).alias(key)).agg(gather(order, fields).alias(to))
-    return parent.join(lists, key, "left" if keep_empty else "inner")
+    return parent.join(lists.hint("merge"), key, "left" if keep_empty else "inner")
 
 
 def walk(df: DataFrame, column: str, *, keep: list[str]) -> DataFrame:
