@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.common import slices
+from lamella.llm.common import SLICE, slices
 
 WORD = re.compile(r"[^\W_]+")
 #: The first id stands for unknown words, the second for the start of a text.
@@ -56,6 +56,8 @@ class Model:
     def features(self, texts: Sequence[str | None], index: dict[str, int]) -> np.ndarray:
         """The largest log-likelihood difference per word of any window of ``window`` words (of the whole text, if it
         is shorter); 0 for a text without words."""
+        if len(texts) > SLICE:  # the arrays below are as long as all words together
+            return np.concatenate([self.features(texts[i : i + SLICE], index) for i in range(0, len(texts), SLICE)])
         if not len(texts):
             return np.zeros(0)
         flat, begins = self.ids(texts, index)
@@ -170,15 +172,16 @@ def remainder(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5
 
 
-def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", per_class: int = 3000, **how) -> Model:
-    """Fit on labelled rows whose remainder isn't 0: of each class the ``per_class`` ids (a documented bound) that
-    come first by hash. A null label doesn't count; an id labelled both ways is toxic. Rows come to the driver,
+def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", toxic_rows: int = 1000, ordinary_rows: int = 4000, **how) -> Model:
+    """Fit on labelled rows whose remainder isn't 0: of each class the ids that come first by hash, at most
+    ``toxic_rows`` and ``ordinary_rows`` of them. More ordinary rows than toxic ones tell which rare words are only
+    rare. A null label doesn't count; an id labelled both ways is toxic. Rows come to the driver,
     whole texts, a bounded number of them."""
     named = labels.select(F.col(doc_id).alias("k"), F.col(label).alias("y")).where("k is not null and y is not null")
     known = named.where(remainder(F.col("k")) != 0).groupBy("k").agg(F.max("y").alias("y"))
     order = [F.xxhash64("k"), F.col("k")]
-    picked = known.where("y = 1").orderBy(*order).limit(per_class).union(known.where("y = 0").orderBy(*order).limit(per_class))
-    # At most 2 * per_class rows of two numbers: small enough to broadcast whatever the input.
+    picked = known.where("y = 1").orderBy(*order).limit(toxic_rows).union(known.where("y = 0").orderBy(*order).limit(ordinary_rows))
+    # At most toxic_rows + ordinary_rows rows of two numbers: small enough to broadcast whatever the input.
     rows = docs.select(F.col(doc_id).alias("k"), F.col(text).alias("t")).join(F.broadcast(picked), "k")
     sample = rows.groupBy("k").agg(F.max("t").alias("t"), F.max("y").alias("y")).collect()
     sample.sort(key=lambda r: r["k"])
