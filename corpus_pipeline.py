@@ -1,6 +1,7 @@
 """The corpus pipeline: from ``documents`` to packed training sequences, one written table per stage.
 
-Every stage but the last returns the columns of ``documents``; each works on all that its predecessor kept.
+Every stage but the last returns the columns of ``documents``; each works on all that its predecessor kept. Stages
+that run Python on the executors send this package there first.
 """
 
 from __future__ import annotations
@@ -8,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamella.cluster import ship
 from lamella.llm import lines, minhash, packing, quality, toxicity
 from lamella.llm.common import table
 from lamella.llm.queries import tokenizer_path
@@ -15,11 +17,12 @@ from lamella.llm.queries import tokenizer_path
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.5 or more for toxicity go."""
-    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.drop_toxic(docs, ship(spark).read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a quality rule rejects go."""
+    ship(spark)
     return quality.keep_quality(docs)
 
 
@@ -34,11 +37,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, similarity of 0.8 or more) the smallest doc_id stays."""
+    ship(spark)
     return minhash.drop_near_duplicates(docs, words=5, percent=80)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token ids in sequences of 2048."""
+    ship(spark)
     return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), size=2048)
 
 
