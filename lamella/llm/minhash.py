@@ -4,12 +4,14 @@ A document's shingles are hashed once; the hash's high part names one of ``bins`
 its value. Empty bins borrow by optimal densification: a second hash of (bin, attempt) picks the donor. Bands of
 values make buckets. In a bucket, up to ``hubs`` members chosen by hash are joined to every member: stars, so pairs
 grow with the bucket's size and not with its square. Pairs are confirmed on full shingle sets: first those of each
-bucket's smallest id, then, of those with the bucket's other hubs, the ones that lie across components so far.
+bucket's smallest id, then, of those with the bucket's other hubs, the ones that lie across components so far. Members
+that are no hubs and still lie in several components go through an exact search: sets that are similar enough share a
+shingle among the rarest of each (prefix filter), and all such pairs across components are confirmed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -123,9 +125,8 @@ def signatures(docs: DataFrame, text: str, doc_id: str, *, words: int, bands: in
     return docs.select(F.col(doc_id).alias("k"), F.col(text).alias("t")).mapInArrow(run, kind)
 
 
-def star_pairs(bands: DataFrame, hubs: int) -> DataFrame:
-    """Distinct pairs (a < b) of a hub and a member of its bucket, and whether the hub is a ``first`` one. ``bands`` has
-    b (bucket) and k (integer id).
+def shared_buckets(bands: DataFrame, hubs: int) -> DataFrame:
+    """The rows of ``bands`` (b, a bucket, and k, an integer id) whose bucket has others, with the bucket's hubs.
 
     A bucket's first hub is its smallest id, so that copies of one text meet the same hub in all their buckets. The
     others are the ids that are smallest after their bits are flipped by a hash of the bucket, so different buckets
@@ -134,10 +135,96 @@ def star_pairs(bands: DataFrame, hubs: int) -> DataFrame:
     salt = lambda i: F.xxhash64("b", F.lit(i))
     small = bands.groupBy("b").agg(F.count("*").alias("c"), F.min("k").alias("h0"), *(F.min(F.col("k").bitwiseXOR(salt(i))).alias(f"h{i}") for i in range(1, hubs)))
     found = small.where("c > 1").select("b", F.array_distinct(F.array(F.col("h0"), *(F.col(f"h{i}").bitwiseXOR(salt(i)) for i in range(1, hubs)))).alias("hubs"))
-    stars = bands.join(table(found, "hubs").hint("merge"), "b").select("k", F.posexplode("hubs").alias("i", "h")).where("k <> h")
+    return bands.join(table(found, "hubs").hint("merge"), "b")
+
+
+def star_pairs(shared: DataFrame) -> DataFrame:
+    """Distinct pairs (a < b) of a hub and a member of its bucket, and whether the hub is a ``first`` one."""
+    stars = shared.select("k", F.posexplode("hubs").alias("i", "h")).where("k <> h")
     return stars.groupBy(F.least("k", "h").alias("a"), F.greatest("k", "h").alias("b")).agg(F.bool_or(F.col("i") == 0).alias("first"))
 
 
+def unproven(shared: DataFrame, label: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(k, c, w): the ids that share a bucket with one of another component while neither is its hub, their components,
+    and how many such ids each component has."""
+    members = label(shared.where(~F.array_contains("hubs", F.col("k"))).select("b", "k"))
+    mixed = members.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("b")
+    left = table(members.join(mixed.hint("merge"), "b").select("k", "c").distinct(), "unproven")
+    return left.join(left.groupBy("c").agg(F.count("*").alias("w")).hint("merge"), "c")
+
+
+#: Counters that tell frequent shingles from rare ones.
+SLOTS = 1 << 18
+
+
+def _slot(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(46)).astype(np.int64)
+
+
+def frequencies(texts: DataFrame, words: int) -> np.ndarray:
+    """About how often the shingles of each slot occur in the column t, 0 for those that don't stand out in their
+    partition. They only order shingles: any values give the same links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, counts = WordHashes(), np.zeros(SLOTS, np.int64)
+        for whole in batches:
+            for i in range(0, whole.num_rows, SLICE):
+                sets = [shingle_set(t, words, hashes) for t in whole.column(0).slice(i, SLICE).cast(pa.binary()).to_pylist()]
+                counts += np.bincount(_slot(np.concatenate(sets)), minlength=SLOTS)
+        at = np.flatnonzero(counts > 1 + 2 * counts.mean())
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], names=["slot", "n"])
+
+    found = texts.select("t").mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SLOTS, np.int64)
+    out[found["slot"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
+def prefixes(texts: DataFrame, counts: np.ndarray, *, words: int, percent: int) -> DataFrame:
+    """Of each text's n shingles, rarest first, those that a link with no larger set must meet: s at place pos. With a
+    larger set, or one as large, it must meet one of those that are ``indexed``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for whole in batches:
+            for i in range(0, whole.num_rows, SLICE):
+                part = whole.slice(i, SLICE)
+                at, found, pos, n, indexed = [], [], [], [], []
+                for row, t in enumerate(part.column(3).cast(pa.binary()).to_pylist()):
+                    own = shingle_set(t, words, hashes)
+                    size = len(own)
+                    most = size + percent * size // -100 + 1 if size else 0
+                    most_indexed = size + 2 * percent * size // -(100 + percent) + 1
+                    first = own[np.lexsort((own, counts[_slot(own)]))[:most]]
+                    places = np.arange(1, len(first) + 1)
+                    at.append(np.full(len(first), row))
+                    found.append(first)
+                    pos.append(places)
+                    n.append(np.full(len(first), size))
+                    indexed.append(places <= most_indexed)
+                rows = pa.array(np.concatenate(at))
+                new = [pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(pos)), pa.array(np.concatenate(n)), pa.array(np.concatenate(indexed))]
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(rows) for c in range(3)), *new], names=["k", "c", "w", "s", "pos", "n", "indexed"])
+
+    return texts.select("k", "c", "w", "t").mapInArrow(run, "k bigint, c bigint, w bigint, s bigint, pos bigint, n bigint, indexed boolean")
+
+
+def prefix_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a < b, with their components ca and cb) of ``prefixes`` that can be links across components. Of the ids
+    at a shingle, those of the largest component meet only the others, so a group of near copies costs no pairs."""
+    rows = table(rows, "prefixes")
+    places = rows.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max_by("c", F.struct("w", "c")).alias("major")).where("lo <> hi")
+    rows = table(rows.join(places.select("s", "major").hint("merge"), "s"), "places")
+    index = rows.where("indexed").select("s", (F.col("c") != F.col("major")).cast("int").alias("g"), F.col("k").alias("b"), F.col("c").alias("cb"), F.col("pos").alias("j"), F.col("n").alias("m"))
+    sides = F.when(F.col("c") == F.col("major"), F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1)))
+    probe = rows.select("s", F.explode(sides).alias("g"), F.col("k").alias("a"), F.col("c").alias("ca"), F.col("pos").alias("i"), "n")
+    # What two sets share stands at or behind the first shingle where they meet.
+    enough = F.expr(f"{100 + percent} * (1 + least(n - i, m - j)) >= {percent} * (n + m)")
+    both = probe.join(index.hint("merge"), (probe["s"] == index["s"]) & (probe["g"] == index["g"]) & F.expr("ca <> cb and (m < n or (m = n and b < a))") & enough)
+    turned = F.col("a") > F.col("b")
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(turned, F.col("cb")).otherwise(F.col("ca")).alias("ca"), F.when(turned, F.col("ca")).otherwise(F.col("cb")).alias("cb")).distinct()
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, *, words: int, percent: int) -> DataFrame:
     """The pairs whose full shingle sets have 100 * intersection >= percent * union. ``texts`` has k and t, one row
     for each id. Rows stream through two joins; no group is gathered."""
@@ -185,6 +272,12 @@ def components(edges: DataFrame) -> DataFrame:
     return at
 
 
+def merged(pairs: DataFrame, texts: DataFrame, *, words: int, percent: int) -> DataFrame:
+    """``components`` over components: those of ``pairs`` (a, b, and their components ca and cb) that are links."""
+    more = confirmed(pairs.select("a", "b"), texts, words=words, percent=percent).join(pairs.hint("merge"), ["a", "b"])
+    return components(more.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -217,7 +310,8 @@ def near_duplicates(
     member = named.select("k", "ha", "hb", "keys").join(classes.hint("merge"), ["ha", "hb"], "left").select("k", F.coalesce("rep", "k").alias("rep"), "keys")
     reps = member.where("k = rep")
     banded = reps.select("k", F.explode("keys").alias("b"))
-    pairs = table(star_pairs(banded, hubs), "pairs")
+    shared = table(shared_buckets(banded, hubs), "shared")
+    pairs = table(star_pairs(shared), "pairs")
     wanted = pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b"))).distinct()
     texts = table(docs.join(wanted.hint("shuffle_hash"), "k", "left_semi").groupBy("k").agg(F.max("t").alias("t")), "texts")
     # Copies and repeated ids link as they are: (representative, copy).
@@ -228,11 +322,24 @@ def near_duplicates(
     label = lambda c: at.select(F.col("k").alias(c), F.col("component").alias(f"c{c}")).hint("merge")
     rest = pairs.where("not first").join(label("a"), "a", "left").join(label("b"), "b", "left")
     rest = table(rest.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb"), "rest")
-    more = confirmed(rest.select("a", "b"), texts, words=words, percent=percent).join(rest.hint("merge"), ["a", "b"])
-    joined = components(more.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-    out = signed.select("k", "n").join(at.hint("merge"), "k", "left").withColumn("c", F.coalesce("component", "k")).drop("component")
-    out = out.join(joined.select(F.col("k").alias("c"), F.col("component").alias("c2")).hint("merge"), "c", "left")
-    component = F.coalesce("c2", "c")
+    joined = merged(rest, texts, words=words, percent=percent)
+
+    def labelled(df: DataFrame, *steps: DataFrame) -> DataFrame:
+        """With c: the component of k after these steps."""
+        out = df.join(at.hint("merge"), "k", "left").withColumn("c", F.coalesce("component", "k")).drop("component")
+        for step in steps:
+            out = out.join(step.select(F.col("k").alias("c"), F.col("component").alias("c2")).hint("merge"), "c", "left").withColumn("c", F.coalesce("c2", "c")).drop("c2")
+        return out
+
+    # What no star can prove: an exact search among the ids that large buckets leave in several components.
+    left = table(unproven(shared, lambda df: labelled(df, joined)), "left")
+    steps = [joined]
+    if not left.isEmpty():
+        left = table(left.join(texts.hint("merge"), "k"), "left-texts")
+        counts = frequencies(left, words)
+        steps.append(merged(table(prefix_pairs(prefixes(left, counts, words=words, percent=percent), percent), "rest"), texts, words=words, percent=percent))
+    out = labelled(signed.select("k", "n"), *steps)
+    component = F.col("c")
     return out.select(F.col("k").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("k"), F.lit(True)).alias("kept"))
 
 

@@ -91,6 +91,20 @@ def test_copies_of_many_documents(spark):
     assert set(found(documents(spark, texts)).values()) == {(5, 0)}
 
 
+def test_near_copies_below_a_passage_that_many_share(spark):
+    # five texts are near copies (200 of 220 shingles); to all others, in whose large buckets they lie, they aren't
+    passage = " ".join(f"p{i}" for i in range(204))
+    own = lambda i, n: " ".join([passage, *(f"d{i}x{j}" for j in range(n))])
+    few = {301, 602, 903, 1204, 1498}
+    got = found(documents(spark, [own(i, 10 if i in few else 60) for i in range(1500)]), words=5, percent=80)
+    assert got == {i: (210, 301) if i in few else (260, i) for i in range(1500)}
+
+
+def test_what_few_hubs_miss_is_found(spark):
+    texts = corpus(6, groups=6, size=30)
+    assert found(documents(spark, texts), words=3, percent=85, hubs=1) == brute(dict(enumerate(texts)), 3, 85)
+
+
 def test_filter_keeps_one_of_each_group(spark):
     texts = corpus(4)
     df = clashing(documents(spark, texts))
