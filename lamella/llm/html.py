@@ -156,14 +156,15 @@ def blocks(page: str) -> list[Block]:
 
 def context(block: Block, framed: bool) -> list[str]:
     """Features that a block's words are weighed by. Inside an article, its own header holds the headline: a header
-    there counts only for what isn't a heading. Text beside an article or main element is stray."""
+    there counts only for what isn't a heading. Text beside an article or main element is stray. That a block is mostly
+    links counts only outside of both, and not for headings: a headline may be a permalink, a source a link."""
     around = list(block.around)
     inside = [i for i, f in enumerate(around) if f in ("article", "main", ".article", ".main")]
     if inside and HEADING & set(around):
         around = [f for i, f in enumerate(around) if not (i > inside[0] and f in ("header", ".header"))]
     if framed and not inside:
         around.append("stray")
-    if block.words and block.linked > 0.6 * len(block.text):
+    if not inside and not HEADING & set(around) and block.words and block.linked > 0.6 * len(block.text):
         around.append("linked")
     return around
 
@@ -186,7 +187,7 @@ _BY_CLASS = (
 ).split()
 _BY_CLASS = tuple(dict.fromkeys(_BY_CLASS))
 _CONTENT = ("<article>{}</article>", "<main>{}</main>", '<div class="content">{}</div>', '<div id="article-body">{}</div>', '<section class="post entry">{}</section>', "<main><article>{}</article></main>", "<div>{}</div>", "{}")
-_TEXT = "<h1>{0} a few words of a headline</h1><p>{0} one sentence of plain text that says something, and goes on.</p><blockquote>{0} a quoted line</blockquote><h2>{0} more</h2><ul><li>{0} first thing</li><li>{0} second thing</li></ul><pre>{0} some code</pre><table><tr><td>{0} cell</td></tr></table><p>{0} a last sentence.</p>"
+_TEXT = "<h1>{0} a few words of a headline</h1><p>{0} one sentence of plain text that says something, and goes on.</p><blockquote>{0} a quoted line</blockquote><h2>{0} more</h2><ul><li>{0} first thing</li><li>{0} second thing</li></ul><pre>{0} some code</pre><table><tr><td>{0} cell</td></tr></table><h2><a href='/x'>{0} a linked headline</a></h2><p><a href='/x'>{0} a source</a></p><ul><li><a href='/x'>{0} a reference</a></li></ul><p>{0} a last sentence.</p>"
 
 
 def labelled_pages() -> Iterator[tuple[str, str]]:

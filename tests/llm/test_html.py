@@ -30,6 +30,13 @@ def test_layouts(name):
     assert html.main_text(page) == want
 
 
+@pytest.mark.parametrize("frame", ["<article>{}</article>", "<main>{}</main>", '<div class="content">{}</div>'])
+def test_linked_content_stays(frame):
+    content = '<h1><a href="/x">A headline</a></h1><p>Some text of it.</p><p><a href="/y">A source</a></p><ul><li><a href="/z">A reference</a></li></ul><p>The end.</p>'
+    page = f'<body><nav><a href="/">Home</a></nav>{frame.format(content)}<footer><a href="/i">Imprint</a></footer></body>'
+    assert html.main_text(page) == "A headline\n\nSome text of it.\n\nA source\n\nA reference\n\nThe end."
+
+
 def test_weights_come_from_the_labelled_pages():
     w = html.weights()
     assert all(w[f] < 0 for f in ("nav", "footer", "aside", "form", ".sidebar", ".comments", ".ad", "stray"))
