@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from lamella.llm.common import slices
 
 #: Phrases whose places are always counted, and their labels.
-PHRASES = {"general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
+PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 

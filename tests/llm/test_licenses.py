@@ -39,6 +39,12 @@ def test_base_of_random_texts(spark):
         assert 0 <= got[i]["score"] <= 1
 
 
+def test_base_phrases_are_those_of_the_contract(spark):
+    texts = ["the GNU General Public License", "GNU Lesser General Public License", "General Public License", "Affero general public license, Apache License; CC BY, MIT License"]
+    got = {r["doc_id"]: base(r) for r in licenses.licenses(documents(spark, texts)).collect()}
+    assert got == {0: (5, 1, 1, 1, "gpl"), 1: (5, 0, None, None, ""), 2: (3, 0, None, None, ""), 3: (10, 3, 4, 8, "apache,cc-by,mit")}
+
+
 def test_whole_table(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     for r in queries.op8_license_scan(spark, DATA).collect():
