@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding with a streaming Viterbi search.
 
-Text is read piece by piece from left to right. Scores are kept for as many positions as the longest piece has
-characters; back pointers only since the last boundary at which all surviving paths agree. At such a boundary the ids
-before it are final and are handed out, so memory doesn't grow with the text.
+Text is read from left to right, a few thousand characters at a time. Scores and back pointers are kept from the last
+boundary that all surviving paths share to as far ahead as the longest piece reaches. At such a boundary the ids before
+it are final and are handed out, so the search's memory doesn't grow with the text.
 
 The pieces' scores are taken as they are in the model file: the best segmentation is the one with the largest sum.
 For a unigram model that is the library's own result; a file of another kind is read as a unigram model.
@@ -27,7 +27,11 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_COST = 10.0
 UNKNOWN_TEXT = " ⁇ "
-CACHED_CHUNKS, CACHED_CHARS = 300_000, 40
+#: What is remembered at most: so many texts between borders, of so many characters.
+KNOWN_CHUNKS, KNOWN_CHARS = 300_000, 40
+#: Characters that are read from a text, and split at borders, at a time.
+READ_CHARS, BLOCK_CHARS = 4096, 1 << 16
+_NEVER, _ORIGIN = float("-inf"), (0, -1)
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -81,16 +85,13 @@ class Vocabulary:
                 self.prefix, self.trim, self.escape = (bool(spec.get(i, 1)) for i in (3, 4, 5))
         self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k in (NORMAL, USER)}
         self.longest = max(map(len, self.ids), default=1)
-        #: Every beginning of a piece: (id or -1, score).
-        self.nodes: dict[str, tuple[int, float]] = {p[:n]: (-1, 0.0) for p in self.ids for n in range(1, len(p) + 1)}
-        self.nodes |= {p: (i, len(p) * -0.1 if self.kinds[i] == USER else self.scores[i]) for p, i in self.ids.items()}
-        #: The same as a tree by character, for ``short``: under None a node has the piece and score that end there.
+        #: The pieces as a tree by character: under None a node has the piece and score that end there.
         self.tree: dict = {}
         for p, i in self.ids.items():
             node = self.tree
             for ch in p:
                 node = node.setdefault(ch, {})
-            node[None] = self.nodes[p]
+            node[None] = i, len(p) * -0.1 if self.kinds[i] == USER else self.scores[i]
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == BYTE}
         self.value_of = {i: b for b, i in self.bytes.items()}
         self.unknown = next((i for i, k in enumerate(self.kinds) if k == UNKNOWN), 0)
@@ -101,7 +102,7 @@ class Vocabulary:
         #: What each id alone shows as, and whether it does so beside any others: all but parts of longer characters.
         self.shown = [chr(self.value_of.get(i, 0)) if k == BYTE else UNKNOWN_TEXT if k == UNKNOWN else "" if k == CONTROL else p for i, (p, k) in enumerate(zip(self.pieces, self.kinds))]
         self.plain = [k != BYTE or self.value_of[i] < 128 for i, k in enumerate(self.kinds)]
-        self.cache: dict[str, bytes] = {}
+        self.known = _Known(self)
 
     # ---- encoding ----
 
@@ -112,117 +113,107 @@ class Vocabulary:
             text = " " + text
         return text.replace(" ", SPACE) if self.escape else text
 
-    def search(self, chars: Iterable[str]) -> Iterator[list[int]]:
-        """Ids of normalised text, a list each time a boundary is certain. ``chars`` may be a stream of strings."""
-        window = ""  # text from the last certain boundary on
-        score, back = [0.0], [(0, -1)]  # by position in the window: best score, (start, id) of the last piece
-        at, furthest, ended, source = 0, 0, False, iter(chars)
+    def search(self, source: Iterable[str]) -> Iterator[list[int]]:
+        """Ids of normalised text, a list for each stretch that has become certain. ``source`` is a stream of strings;
+        how it is cut makes no difference.
+
+        Text, scores and back pointers are kept from the last certain boundary to ``longest`` characters past the
+        current one. Sums run from the stream's start, so they don't depend on when ids were handed out.
+        """
+        tree, longest, unknown = self.tree, self.longest, self.unknown_score
+        # Boundaries count from the start of ``text``: best score, and (start, id) of the best piece that ends there.
+        text, score, back = "", [0.0], [_ORIGIN]
+        at = reached = sure = done = 0  # next to leave from, furthest reached, last that all paths share, last handed out
+        step = 4 * longest  # open characters at which ids are handed out
+        wait, pending, ended = step, iter(source), False
         while True:
-            while not ended and len(window) - at < self.longest:
-                more = next(source, None)
+            while not ended and len(text) - at < longest:
+                more = next(pending, None)
                 ended = more is None
-                window += more or ""
-                grown = len(window) + 1 - len(score)
-                score += [float("-inf")] * grown
-                back += [(0, -1)] * grown
-            if at == len(window):
-                if at:
-                    yield self._path(window, back, at)
+                if more:
+                    text, score, back = text[done:] + more, score[done:] + [_NEVER] * len(more), [(s - done, i) for s, i in back[done:]] + [_ORIGIN] * len(more)
+                    at, reached, sure, done = at - done, reached - done, sure - done, 0
+            end = len(text)
+            if at == end:
+                if at > done:
+                    yield self._path(text, back, done, at)
                 return
-            if at and furthest == at:  # no piece crosses: every path goes through here
-                yield self._path(window, back, at)
-                window, score, back, furthest, at = window[at:], score[at:], back[at:], 0, 0
-                score[0] = 0.0
-                continue
-            if at >= 4 * self.longest and at % self.longest == 0 and (meet := self._meet(back, score, at, furthest)):
-                yield self._path(window, back, meet)
-                base = score[meet]
-                window, score = window[meet:], [s - base for s in score[meet:]]
-                back = [(max(0, s - meet), i) for s, i in back[meet:]]
-                at, furthest = at - meet, furthest - meet
-            here, single, end = score[at], False, at + 1
-            while end <= len(window):
-                node = self.nodes.get(window[at:end])
-                if node is None:
-                    break
-                piece, own = node
-                if piece >= 0:
-                    single |= end == at + 1
-                    if here + own > score[end]:
-                        score[end], back[end] = here + own, (at, piece)
-                    furthest = max(furthest, end)
-                end += 1
-            if not single:
-                if here + self.unknown_score > score[at + 1]:
-                    score[at + 1], back[at + 1] = here + self.unknown_score, (at, -1)
-                furthest = max(furthest, at + 1)
+            for at in range(at, end if ended else end - longest + 1):
+                if reached == at:  # no piece crosses: every path goes through here
+                    sure = at
+                if at - done >= wait:
+                    if sure == done:
+                        sure = self._meet(back, done, [p for p in range(at, reached + 1) if score[p] > _NEVER])
+                    # Where paths go on side by side, they are next compared when twice as much is open.
+                    wait = step if sure > done else 2 * (at - done)
+                    if sure > done:
+                        yield self._path(text, back, done, sure)
+                        done = sure
+                here, node, stop, single = score[at], tree, at, False
+                for ch in text[at : at + longest]:
+                    node = node.get(ch)
+                    if node is None:
+                        break
+                    stop += 1
+                    found = node.get(None)
+                    if found is not None:
+                        piece, own = found
+                        own += here
+                        if own > score[stop]:
+                            score[stop], back[stop] = own, (at, piece)
+                        if stop == at + 1:
+                            single = True
+                        if stop > reached:
+                            reached = stop
+                if not single:
+                    if here + unknown > score[at + 1]:
+                        score[at + 1], back[at + 1] = here + unknown, (at, -1)
+                    reached = max(reached, at + 1)
             at += 1
 
-    def short(self, chunk: str) -> list[int]:
-        """``search`` for a chunk that is a window of its own, all at once."""
-        n, tree = len(chunk), self.tree
-        score, back = [0.0] + [float("-inf")] * n, [(0, -1)] * (n + 1)
-        for at in range(n):
-            here, node, end, single = score[at], tree, at, False
-            for ch in chunk[at:]:
-                node = node.get(ch)
-                if node is None:
-                    break
-                end += 1
-                found = node.get(None)
-                if found is not None:
-                    piece, own = found
-                    own += here
-                    if own > score[end]:
-                        score[end], back[end] = own, (at, piece)
-                    if end == at + 1:
-                        single = True
-            if not single and here + self.unknown_score > score[at + 1]:
-                score[at + 1], back[at + 1] = here + self.unknown_score, (at, -1)
-        return self._path(chunk, back, n)
-
-    def _meet(self, back: list, score: list, at: int, furthest: int) -> int:
-        """The last position that the paths to all reached positions from ``at`` on share; 0 if only the start."""
-        live = {p for p in range(at, furthest + 1) if score[p] > float("-inf")}
+    @staticmethod
+    def _meet(back: list, done: int, reached: list[int]) -> int:
+        """The last boundary that the paths to all ``reached`` ones share; ``done`` if there is none behind it."""
+        live = set(reached)
         while len(live) > 1:
             p = max(live)
             live.remove(p)
-            live.add(back[p][0])
+            live.add(max(done, back[p][0]))
         return live.pop()
 
-    def _path(self, window: str, back: list, end: int) -> list[int]:
-        out: list[list[int]] = []
-        while end:
+    def _path(self, text: str, back: list, done: int, end: int) -> list[int]:
+        """Ids of the best path from one certain boundary to the next."""
+        out: list[int] = []
+        while end > done:
             start, piece = back[end]
             if piece >= 0:
-                out.append([piece])
+                out.append(piece)
             elif self.bytes:
-                out.append([self.bytes[b] for b in window[start:end].encode("utf-8", "replace")])
+                out.extend(self.bytes[b] for b in reversed(text[start:end].encode("utf-8", "replace")))
             else:
-                out.append([self.unknown])
+                out.append(self.unknown)
             end = start
-        return [i for part in reversed(out) for i in part]
+        out.reverse()
+        return out
+
+    def packed(self, norm: str, start: int = 0, end: int | None = None) -> bytes:
+        """Ids of a part of normalised text, searched as a stream, as little-endian unsigned 32-bit."""
+        end = len(norm) if end is None else end
+        stream = [norm] if end - start == len(norm) <= READ_CHARS else (norm[i : min(i + READ_CHARS, end)] for i in range(start, end, READ_CHARS))
+        return b"".join([struct.pack(f"<{len(ids)}I", *ids) for ids in self.search(stream)])
 
     def encode(self, text: str | None) -> np.ndarray:
-        """Ids of a whole text; none for a null or empty one. Where all paths meet before each space, chunks between
-        are searched once and remembered."""
+        """Ids of a whole text; none for a null or empty one. Where no piece reaches over the border before a space,
+        that border is certain in advance: what lies between is searched on its own, and short parts are remembered."""
         norm = self.normalised(text or "")
-        if not norm:
-            return np.zeros(0, "<u4")
         if not self.meets:
-            return np.array([i for part in self.search([norm]) for i in part], dtype="<u4")
-        cache, out = self.cache, []
-        for chunk in _CHUNK.findall(norm):
-            ids = cache.get(chunk)
-            if ids is None:
-                if len(chunk) <= CACHED_CHARS:
-                    found = self.short(chunk)
-                    ids = struct.pack(f"<{len(found)}I", *found)
-                    if len(cache) < CACHED_CHUNKS:
-                        cache[chunk] = ids
-                else:
-                    ids = b"".join(struct.pack(f"<{len(found)}I", *found) for found in self.search([chunk]))
-            out.append(ids)
+            return np.frombuffer(self.packed(norm), dtype="<u4")
+        out, known = [], self.known
+        for start, end in _blocks(norm):
+            if end - start > BLOCK_CHARS:  # no border in it
+                out.append(self.packed(norm, start, end))
+            else:
+                out.extend(map(known.__getitem__, _CHUNK.findall(norm, start, end)))
         return np.frombuffer(b"".join(out), dtype="<u4")
 
     # ---- decoding ----
@@ -255,6 +246,37 @@ class Vocabulary:
 
 
 _CHUNK = re.compile(rf"{SPACE}*[^{SPACE}]+|{SPACE}+")
+_BORDER = re.compile(rf"(?<=[^{SPACE}]){SPACE}")
+
+
+def _blocks(norm: str) -> Iterator[tuple[int, int]]:
+    """Normalised text cut at borders before spaces, into blocks of ``BLOCK_CHARS`` at most where borders allow it."""
+    start = 0
+    while start < len(norm):
+        end = start + BLOCK_CHARS
+        if end >= len(norm):
+            end = len(norm)
+        else:
+            while end > start and not (norm[end] == SPACE and norm[end - 1] != SPACE):
+                end = norm.rfind(SPACE, start, end)  # -1 without one
+            if end <= start:
+                found = _BORDER.search(norm, start + BLOCK_CHARS)
+                end = found.start() if found else len(norm)
+        yield start, end
+        start = end
+
+
+class _Known(dict):
+    """Packed ids by text between borders, searched when first asked for; kept while there are not too many."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.vocabulary.packed(chunk)
+        if len(self) < KNOWN_CHUNKS and len(chunk) <= KNOWN_CHARS:
+            self[chunk] = ids
+        return ids
 
 
 @lru_cache(maxsize=4)

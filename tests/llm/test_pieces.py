@@ -69,13 +69,68 @@ def test_stream_gives_the_same_ids_however_it_is_cut(v):
         assert [i for p in v.search(parts) for i in p] == whole == v.encode(s).tolist()
 
 
-def test_window_stays_bounded_without_spaces(v):
+def test_ids_come_in_bounded_stretches(v):
     text = "ab" * 5000
-    longest = max(len(part) for part in v.search(text))
-    assert longest < 10 * v.longest
+    assert max(len(part) for part in v.search(text)) < 10 * v.longest
     assert v.decode(v.encode(text).tolist()) == text
 
 
+@pytest.mark.parametrize("letters", ["abcdetho", "一的是不了人", "é", "▁a"])
+def test_long_texts_without_spaces_take_linear_time(v, letters):
+    import time
+
+    rng, took = random.Random(6), []
+    for n in (50_000, 400_000):
+        text = "".join(rng.choice(letters) for _ in range(n))
+        began = time.perf_counter()
+        ids = v.encode(text)
+        took.append(time.perf_counter() - began)
+        assert v.decode(ids.tolist()) == text.replace("▁", " ").strip(" ") or "▁" in text
+    assert took[1] < 8 * took[0] * 3 + 1
+
+
+def whole(v, text):
+    """Ids by one table over the whole text, all starts for each end: the quadratic way, first of the best kept."""
+    score, back = [0.0] + [float("-inf")] * len(text), [None] * (len(text) + 1)
+    for i in range(len(text)):
+        for j in range(i + 1, len(text) + 1):
+            p = v.ids.get(text[i:j])
+            own = v.scores[p] if p is not None else v.unknown_score if j == i + 1 else None
+            if own is not None and score[i] + own > score[j]:
+                score[j], back[j] = score[i] + own, (i, p)
+    out, at = [], len(text)
+    while at:
+        i, p = back[at]
+        out[:0] = [p] if p is not None else [v.bytes[b] for b in text[i:at].encode()]
+        at = i
+    return out
+
+
+def test_ids_equal_one_table_over_the_whole_text(v):
+    for s in [*strings(80), *strings(40, "abcdetho", seed=8), "".join(strings(20, "aeht", seed=9))]:
+        assert v.encode(s).tolist() == whole(v, v.normalised(s))
+
+
+def test_paths_that_stay_apart():
+    # pieces of two characters and one of each alone: two paths go side by side until the text's end
+    w = pieces.Vocabulary(b"")
+    w.ids, w.scores, w.kinds, w.pieces = {"a": 0, "aa": 1}, [-1.0, -2.0], [1, 1], ["a", "aa"]
+    w.tree = {"a": {None: (0, -1.0), "a": {None: (1, -2.0)}}}
+    w.longest, w.prefix, w.trim, w.known = 2, False, False, pieces._Known(w)
+    for n in (1, 2, 3, 99, 10_000):
+        ids = w.encode("a" * n).tolist()
+        assert "".join(w.pieces[i] for i in ids) == "a" * n
+
+
+def test_blocks_end_at_borders(v, monkeypatch):
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("ab ▁") for _ in range(rng.randint(1, 300))) for _ in range(100)]
+    want = [v.encode(t).tolist() for t in texts]
+    monkeypatch.setattr(pieces, "BLOCK_CHARS", 7)
+    monkeypatch.setattr(pieces, "READ_CHARS", 3)
+    assert [v.encode(t).tolist() for t in texts] == want
+
+
 def test_decoding_matches_the_library(v, library):
     rng = random.Random(9)
     for s in strings(200):
