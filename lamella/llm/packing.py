@@ -1,17 +1,19 @@
 """Sum-of-squares online packing of tokenised documents into fixed windows.
 
 Whole windows are cut off a document as they are; its remainder goes to the open window whose level keeps the sum
-over levels of (open windows at that level) ** 2 smallest, read from a level array. What is still open at the end
-of a partition, or beyond ``max_open`` windows, is joined, cut at window size, and its tail is cut into powers of
-two, which need no padding.
+over levels of (open windows at that level) ** 2 smallest, read from a level array. Where more than ``max_open``
+windows are open, the fullest one is completed and leaves: its gap is filled from the emptiest one, whose last piece is
+cut to fit. The same completes what is open at the end of a partition, fullest first; the last window is cut into
+powers of two, which need no padding.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
-from collections import defaultdict
-from collections.abc import Iterator
+from collections import defaultdict, deque
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,27 +30,50 @@ END_ID = 1
 _ENCODERS: dict = {}
 
 
-def encoder(path: str):
-    """An encoder for a byte-level BPE ``tokenizer.json``, kept per worker. The file's vocabulary and split pattern
-    run in tiktoken's engine: the same ids at several times the speed. Special tokens' strings are ordinary text."""
+def encoder(path: str) -> Callable[[str], list[int]]:
+    """Text to ids as the tokenizers library gives them for a ``tokenizer.json`` without adding special tokens, kept per
+    worker. A byte-level BPE without normaliser runs in tiktoken's engine, several times as fast, added tokens of the file
+    included; any other file runs in the library itself."""
     if path not in _ENCODERS:
-        import tiktoken
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        special = {t["content"] for t in spec.get("added_tokens", ())}
-        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-        letter = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
-        ranks = {bytes(letter[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in special}
-        _ENCODERS[path] = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        _ENCODERS[path] = _fast(spec) or _library(path)
     return _ENCODERS[path]
 
 
+def _library(path: str) -> Callable[[str], list[int]]:
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(path)
+    return lambda text: own.encode(text, add_special_tokens=False).ids
+
+
+def _fast(spec: dict) -> Callable[[str], list[int]] | None:
+    """The file's vocabulary in tiktoken's engine, or None where the file asks for something that it can't do."""
+    import tiktoken
+
+    added, split, model = spec.get("added_tokens") or [], spec.get("pre_tokenizer") or {}, spec["model"]
+    plain = model.get("type") == "BPE" and not any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    bytewise = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+    simple = not any(t.get(x) for t in added for x in ("single_word", "lstrip", "rstrip"))
+    if spec.get("normalizer") or not (plain and bytewise and simple):
+        return None
+    special = {t["content"]: t["id"] for t in added}
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    letter = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+    ranks = {bytes(letter[c] for c in piece): i for piece, i in model["vocab"].items() if piece not in special}
+    own = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
+    if not special:
+        return own.encode_ordinary
+    holds = re.compile("|".join(map(re.escape, special))).search
+    return lambda text: own.encode(text, allowed_special="all") if holds(text) else own.encode_ordinary(text)
+
+
 class Window:
     __slots__ = ("fill", "pieces")
 
     def __init__(self):
-        self.fill, self.pieces = 0, []
+        self.fill, self.pieces = 0, deque()
 
 
 class Packer:
@@ -79,55 +104,64 @@ class Packer:
         if whole == n:
             return
         rest, level = ids[whole:], self.level_for(n - whole)
-        if level:
-            window = self.at[level].pop()
-            self.count[level] -= 1
-            self.open -= 1
-        else:
-            window = Window()
+        window = self._take(level) if level else Window()
         window.pieces.append((doc, whole, rest, n))
         window.fill += len(rest)
         if window.fill == size:
             self.done.append(window.pieces)
             return
+        self._put(window)
+        while self.open > self.max_open:
+            self._complete_fullest()
+
+    def _put(self, window: Window) -> None:
         self.at[window.fill].append(window)
         self.count[window.fill] += 1
         self.open += 1
-        if self.open > self.max_open:
-            self.join(last=False)
-
-    def join(self, last: bool) -> None:
-        """Empty the open windows into full ones; the tail goes into powers of two if this is the last call, and
-        into one open window if not."""
-        pieces = [p for level in sorted(self.at, reverse=True) for w in self.at[level] for p in w.pieces]
-        left = sum(len(p[2]) for p in pieces)
-        self.at.clear()
-        self.count[:] = 0
-        self.open = 0
-        room, out = min(self.size, left), []
-        if last and left < self.size:
-            room = 1 << (left.bit_length() - 1) if left else 0
-        free = room
-        for doc, start, ids, n in pieces:
-            while len(ids):
-                part = ids[:free]
+
+    def _take(self, level: int) -> Window:
+        self.count[level] -= 1
+        self.open -= 1
+        return self.at[level].pop()
+
+    def _complete_fullest(self) -> None:
+        """Fill the fullest window from the emptiest ones and hand it out; only the last piece moved is cut."""
+        window = self._take(int(np.flatnonzero(self.count)[-1]))
+        while window.fill < self.size and self.open:
+            source = self._take(int(np.flatnonzero(self.count)[0]))
+            while source.pieces and window.fill < self.size:
+                doc, start, ids, n = source.pieces.popleft()
+                part = ids[: self.size - window.fill]
+                if len(part) < len(ids):
+                    source.pieces.appendleft((doc, start + len(part), ids[len(part) :], n))
+                window.pieces.append((doc, start, part, n))
+                window.fill, source.fill = window.fill + len(part), source.fill - len(part)
+            if source.pieces:
+                self._put(source)
+        if window.fill < self.size:  # the last one: nothing is left to fill it with
+            self._cut(window)
+        else:
+            self.done.append(window.pieces)
+
+    def _cut(self, window: Window) -> None:
+        """Hand a window out in sequences whose lengths are powers of two, longest first."""
+        left, pieces = window.fill, window.pieces
+        while left:
+            room, out = 1 << (left.bit_length() - 1), []
+            left -= room
+            while room:
+                doc, start, ids, n = pieces.popleft()
+                part = ids[:room]
+                if len(part) < len(ids):
+                    pieces.appendleft((doc, start + len(part), ids[len(part) :], n))
                 out.append((doc, start, part, n))
-                start, ids, free, left = start + len(part), ids[len(part) :], free - len(part), left - len(part)
-                if not free:
-                    if last or room == self.size:
-                        self.done.append(out)
-                    else:
-                        self._reopen(out)
-                    out = []
-                    room = self.size if left >= self.size else (1 << (left.bit_length() - 1) if last and left else left)
-                    free = room
-
-    def _reopen(self, pieces: list) -> None:
-        window = Window()
-        window.pieces, window.fill = pieces, sum(len(p[2]) for p in pieces)
-        self.at[window.fill].append(window)
-        self.count[window.fill] += 1
-        self.open += 1
+                room -= len(part)
+            self.done.append(out)
+
+    def finish(self) -> None:
+        """Complete whatever is open."""
+        while self.open:
+            self._complete_fullest()
 
 
 def pack(
@@ -145,9 +179,10 @@ def pack(
     A row per piece: the id, start (the document's ids before the piece), length, ids_crc32 (of its ids as
     little-endian unsigned 32-bit), doc_tokens, sequence_id, offset (in the sequence, gapless from 0) and, with
     ``with_ids``, ids. Sequences hold ``size`` ids or a power of two of them, so none needs padding. Each partition
-    packs on its own, in its own row order, with at most ``max_open`` open windows in memory; sequence ids hold the
-    partition's number. A null or empty text is the end id alone. Ids may be null or repeat: each row is packed.
-    An empty table gives an empty result; other columns are ignored.
+    packs on its own, in its own row order, with at most ``max_open`` open windows in memory, whatever its size; sequence
+    ids hold the partition's number. ``size`` is at least 2. A text is tokenised whole and at once: a very long one takes memory in proportion to
+    its length, and leaves in whole windows. A null or empty text is the end id alone. Of equally good levels the fuller
+    one wins. Ids may be null or repeat: each row is packed. An empty table gives an empty result; other columns are ignored.
     """
     id_field = docs.schema[doc_id]
     fields = [StructField(doc_id, id_field.dataType)]
@@ -179,7 +214,7 @@ def pack(
             schema = batch.schema
             for keys, texts in zip(slices(batch.column(0)), slices(batch.column(1))):
                 for key, t in zip(keys, texts):
-                    ids = enc.encode_ordinary(t) if t else []
+                    ids = list(enc(t)) if t else []
                     ids.append(END_ID)
                     packer.add(key, np.array(ids, dtype="<u4"))
                 take()
@@ -187,7 +222,7 @@ def pack(
                     yield emit()
                     rows.clear()
         if schema is not None:
-            packer.join(last=True)
+            packer.finish()
             take()
             if rows:
                 yield emit()

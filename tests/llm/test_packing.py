@@ -17,9 +17,7 @@ PATH = P.path("byte_bpe_50k.json")
 
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def ids_of(library, text):
@@ -31,8 +29,15 @@ def test_same_ids_as_the_library(library):
     letters = "abcDEF 'st'll 0123 \n\t\r é一😀ñß  ́‍<|>.,!\x00_"
     enc = packing.encoder(PATH)
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 80))) for _ in range(1500)]
-    for t in [*texts, "<|endoftext|>", "a<|endoftext|>b", "don't we'll", "   x   \n\n", *[x for x in ODD if x]]:
-        assert [*enc.encode_ordinary(t), 1] == ids_of(library, t)
+    added = ["<|endoftext|>", "a<|endoftext|>b", "<|endoftext|><|endoftext|>", " <|endoftext|> x", "<|endoftext", "<<|endoftext|>>\n<|endoftext|>"]
+    for t in [*texts, *added, "don't we'll", "   x   \n\n", *[x for x in ODD if x]]:
+        assert [*enc(t), 1] == ids_of(library, t)
+    assert list(enc("a<|endoftext|>b")) == [64, 50256, 65]
+
+
+def test_other_files_run_in_the_library(tmp_path):
+    other = P.path("word_bpe_49k.json")
+    assert packing.encoder(other)("Some Words, <|endoftext|> here") == Tokenizer.from_file(other).encode("Some Words, <|endoftext|> here", add_special_tokens=False).ids
 
 
 def check(rows, texts, library, size):
@@ -66,7 +71,7 @@ def check(rows, texts, library, size):
 @pytest.mark.parametrize("max_open", [2, 512])
 def test_pieces_and_sequences(spark, library, size, max_open):
     rng = random.Random(size)
-    texts = ODD + [" ".join(rng.choice(("the", "thhe", "über", "x")) for _ in range(rng.randint(0, 200))) for _ in range(80)]
+    texts = ODD + ["a<|endoftext|>b", "<|endoftext|>"] + [" ".join(rng.choice(("the", "thhe", "über", "x")) for _ in range(rng.randint(0, 200))) for _ in range(80)]
     df = clashing(documents(spark, texts).repartition(3))
     rows = packing.pack(df, PATH, size=size, max_open=max_open).collect()
     assert check(rows, dict(enumerate(texts)), library, size) == 0
@@ -107,11 +112,27 @@ def test_open_windows_are_bounded():
     for i in range(2000):
         p.add(i, np.zeros(51, dtype="<u4"))
         assert p.open <= 20
-    p.join(last=True)
+    p.finish()
     assert sum(len(x[2]) for w in p.done for x in w) == 2000 * 51
     assert all(sum(len(x[2]) for x in w) in (100, 64, 32, 16, 8, 4, 2, 1) for w in p.done)
 
 
+def test_completing_cuts_one_piece_at_most():
+    rng = random.Random(4)
+    p, whole = packing.Packer(100, 10_000), 0
+    for i in range(500):
+        p.add(i, np.zeros(rng.randint(1, 99), dtype="<u4"))
+    for windows in list(p.at.values()):
+        for w in windows:
+            whole += len(w.pieces)
+    before, began = p.open, len(p.done)
+    p.finish()
+    made = p.done[began:]
+    # each sequence ends in one cut at most, so pieces grow by no more than the sequences made
+    assert before > 0 and sum(map(len, made)) <= whole + len(made)
+    assert sum(sum(len(x[2]) for x in w) < 100 for w in made) <= 7
+
+
 def test_long_text_is_whole(spark, library):
     rows = packing.pack(documents(spark, [LONG]), PATH).collect()
     assert check(rows, {0: LONG}, library, 2048) == 0

@@ -71,7 +71,6 @@ def test_near_stage(stages):
 
 def test_packing_stage(stages):
     library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
     assert check(stages[4][1].collect(), texts(stages[4][0]), library, 2048) == 0
 
 
