@@ -11,7 +11,7 @@ shingle among the rarest of each (prefix filter), and all such pairs across comp
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.common import SLICE, table
+from lamella.llm.common import SLICE, release, scratch, table
 
 MASK = (1 << 64) - 1
 #: Fixed odd multipliers that tell the places of a word in a shingle apart.
@@ -153,49 +153,47 @@ def unproven(shared: DataFrame, label: Callable[[DataFrame], DataFrame]) -> Data
     return left.join(left.groupBy("c").agg(F.count("*").alias("w")).hint("merge"), "c")
 
 
-#: Counters that tell frequent shingles from rare ones.
-SLOTS = 1 << 18
-
-
-def _slot(shingles: np.ndarray) -> np.ndarray:
-    return (shingles >> np.uint64(46)).astype(np.int64)
-
-
-def frequencies(texts: DataFrame, words: int) -> np.ndarray:
-    """About how often the shingles of each slot occur in the column t, 0 for those that don't stand out in their
-    partition. They only order shingles: any values give the same links."""
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """(k, c, w, s): s is the sorted array of the shingle hashes of a text t."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts = WordHashes(), np.zeros(SLOTS, np.int64)
+        hashes = WordHashes()
         for whole in batches:
             for i in range(0, whole.num_rows, SLICE):
-                sets = [shingle_set(t, words, hashes) for t in whole.column(0).slice(i, SLICE).cast(pa.binary()).to_pylist()]
-                counts += np.bincount(_slot(np.concatenate(sets)), minlength=SLOTS)
-        at = np.flatnonzero(counts > 1 + 2 * counts.mean())
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], names=["slot", "n"])
-
-    found = texts.select("t").mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(SLOTS, np.int64)
-    out[found["slot"].to_numpy()] = found["n"].to_numpy()
-    return out
+                part = whole.slice(i, SLICE)
+                sets = [shingle_set(t, words, hashes).view(np.int64) for t in part.column(3).cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(sets, pa.list_(pa.int64()))], names=["k", "c", "w", "s"])
+
+    return texts.select("k", "c", "w", "t").mapInArrow(run, "k bigint, c bigint, w bigint, s array<bigint>")
+
 
+def with_frequent(sets: DataFrame, frequent: int) -> DataFrame:
+    """``sets`` with f: those of the row's shingles that stand in at least ``frequent`` of the sets, and in how many.
+    Counts are exact; they combine on the map side, and the rows of a hot shingle are joined with its one count."""
+    each = sets.select("k", F.explode("s").alias("x"))
+    often = table(each.groupBy("x").agg(F.count("*").alias("n")).where(F.col("n") >= frequent), "frequent")
+    marks = each.join(often.hint("merge"), "x").groupBy("k").agg(F.collect_list(F.struct("x", "n")).alias("f"))
+    return sets.join(table(marks, "marks").hint("merge"), "k", "left")
 
-def prefixes(texts: DataFrame, counts: np.ndarray, *, words: int, percent: int) -> DataFrame:
-    """Of each text's n shingles, rarest first, those that a link with no larger set must meet: s at place pos. With a
-    larger set, or one as large, it must meet one of those that are ``indexed``."""
+
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """Of each set's n shingles, frequent ones last, those that a link with no larger set must meet: s at place pos. With
+    a larger set, or one as large, it must meet one of those that are ``indexed``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for whole in batches:
             for i in range(0, whole.num_rows, SLICE):
                 part = whole.slice(i, SLICE)
                 at, found, pos, n, indexed = [], [], [], [], []
-                for row, t in enumerate(part.column(3).cast(pa.binary()).to_pylist()):
-                    own = shingle_set(t, words, hashes)
-                    size = len(own)
+                for row in range(part.num_rows):
+                    own = part.column(3)[row].values.to_numpy()
+                    size, count = len(own), np.zeros(len(own), np.int64)
+                    if part.column(4)[row].is_valid:
+                        often = part.column(4)[row].values
+                        count[np.searchsorted(own.view(np.uint64), often.field("x").to_numpy().view(np.uint64))] = often.field("n").to_numpy()
                     most = size + percent * size // -100 + 1 if size else 0
                     most_indexed = size + 2 * percent * size // -(100 + percent) + 1
-                    first = own[np.lexsort((own, counts[_slot(own)]))[:most]]
+                    first = own[np.lexsort((own, count))[:most]]
                     places = np.arange(1, len(first) + 1)
                     at.append(np.full(len(first), row))
                     found.append(first)
@@ -203,10 +201,10 @@ def prefixes(texts: DataFrame, counts: np.ndarray, *, words: int, percent: int)
                     n.append(np.full(len(first), size))
                     indexed.append(places <= most_indexed)
                 rows = pa.array(np.concatenate(at))
-                new = [pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(pos)), pa.array(np.concatenate(n)), pa.array(np.concatenate(indexed))]
+                new = [pa.array(np.concatenate(x)) for x in (found, pos, n, indexed)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c).take(rows) for c in range(3)), *new], names=["k", "c", "w", "s", "pos", "n", "indexed"])
 
-    return texts.select("k", "c", "w", "t").mapInArrow(run, "k bigint, c bigint, w bigint, s bigint, pos bigint, n bigint, indexed boolean")
+    return sets.select("k", "c", "w", "s", "f").mapInArrow(run, "k bigint, c bigint, w bigint, s bigint, pos bigint, n bigint, indexed boolean")
 
 
 def prefix_pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -255,20 +253,21 @@ def components(edges: DataFrame) -> DataFrame:
     ids to their smallest neighbour and contracts the edges, so rounds grow with the logarithm of the longest path.
     Everything is in written tables; nothing is gathered on the driver."""
     edges = table(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    at = None
+    at = table(edges.select(F.col("a").alias("k"), F.col("b").alias("component")).limit(0), "labels")
+    first = True
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
         step = table(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("p")), "step")
-        if at is None:
-            at = step.select("k", F.col("p").alias("component"))
+        if first:
+            labels, first = step.select("k", F.col("p").alias("component")), False
         else:
             moved = at.join(step.select(F.col("k").alias("component"), "p"), "component", "left")
-            at = table(moved.select("k", F.coalesce("p", "component").alias("component")), "labels")
+            labels = moved.select("k", F.coalesce("p", "component").alias("component"))
         to = lambda c: step.select(F.col("k").alias(c), F.col("p").alias(f"p{c}"))  # noqa: E731, B023
-        next_edges = edges.join(to("a"), "a").join(to("b"), "b").where("pa <> pb")
-        edges = table(next_edges.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
-    if at is None:
-        at = edges.select(F.col("a").alias("k"), F.col("b").alias("component"))
+        moved = edges.join(to("a"), "a").join(to("b"), "b").where("pa <> pb")
+        before, at, edges = (at, edges, step), table(labels, "labels"), table(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
+        release(*before)
+    release(edges)
     return at
 
 
@@ -288,6 +287,7 @@ def near_duplicates(
     bands: int = 36,
     rows: int = 5,
     hubs: int = 3,
+    frequent: int = 32,
 ) -> DataFrame:
     """Per row of ``docs``: the id, n_shingles (size of its shingle set), component_id (smallest id reachable over
     links, itself included) and kept (whether that is the row's own id). Two documents are linked if their sets have
@@ -295,6 +295,12 @@ def near_duplicates(
 
     Texts with equal word sequences are one class, represented by its smallest id; only classes take part in the
     search. With the defaults a pair at similarity 0.8 shares no bucket with a probability of 6e-7, at 0.85 of 7e-10.
+    Shingles are compared as 64-bit hashes (sums of mixed word hashes), in n_shingles and in the confirmation too: two
+    different ones agree with a probability of about 2 ** -64 a pair.
+
+    What hubs leave unproven is searched exactly by prefixes; shingles in fewer than ``frequent`` of those texts come
+    first in them, so each costs a text less than ``frequent`` pairs. Only texts that consist of frequent shingles almost
+    wholly (mixtures of few passages) cost pairs by the square of their number.
 
     Ids are integers. Rows that repeat an id are one document in the links, confirmed on the largest of its texts;
     every row is returned. A null id is linked with nothing and its component is null, kept true. Null and empty texts, or texts without
@@ -303,7 +309,24 @@ def near_duplicates(
 
     Joins carry hints: the sides grow with the input, so the plan is the same at every size.
     """
-    docs = docs.select(F.col(doc_id).cast("bigint").alias("k"), F.col(text).alias("t"))
+    with scratch() as kept:
+        signed, at, steps = _search(docs.select(F.col(doc_id).cast("bigint").alias("k"), F.col(text).alias("t")), words, percent, bands, rows, hubs, frequent)
+        kept += [signed, at, *steps]
+    out = _labelled(signed.select("k", "n"), at, steps)
+    component = F.col("c")
+    return out.select(F.col("k").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("k"), F.lit(True)).alias("kept"))
+
+
+def _labelled(df: DataFrame, at: DataFrame, steps: Sequence[DataFrame]) -> DataFrame:
+    """``df`` with c: the component of k after these steps."""
+    out = df.join(at.hint("merge"), "k", "left").withColumn("c", F.coalesce("component", "k")).drop("component")
+    for step in steps:
+        out = out.join(step.select(F.col("k").alias("c"), F.col("component").alias("c2")).hint("merge"), "c", "left").withColumn("c", F.coalesce("c2", "c")).drop("c2")
+    return out
+
+
+def _search(docs: DataFrame, words: int, percent: int, bands: int, rows: int, hubs: int, frequent: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(k and n of each row, component by k, components over components): written tables."""
     signed = table(signatures(docs, "t", "k", words=words, bands=bands, rows=rows), "signed")
     named = signed.where("k is not null and n > 0")
     classes = table(named.groupBy("ha", "hb").agg(F.min("k").alias("rep"), F.count("*").alias("copies")).where("copies > 1"), "classes")
@@ -324,23 +347,13 @@ def near_duplicates(
     rest = table(rest.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb"), "rest")
     joined = merged(rest, texts, words=words, percent=percent)
 
-    def labelled(df: DataFrame, *steps: DataFrame) -> DataFrame:
-        """With c: the component of k after these steps."""
-        out = df.join(at.hint("merge"), "k", "left").withColumn("c", F.coalesce("component", "k")).drop("component")
-        for step in steps:
-            out = out.join(step.select(F.col("k").alias("c"), F.col("component").alias("c2")).hint("merge"), "c", "left").withColumn("c", F.coalesce("c2", "c")).drop("c2")
-        return out
-
     # What no star can prove: an exact search among the ids that large buckets leave in several components.
-    left = table(unproven(shared, lambda df: labelled(df, joined)), "left")
+    left = table(unproven(shared, lambda df: _labelled(df, at, [joined])), "left")
     steps = [joined]
     if not left.isEmpty():
-        left = table(left.join(texts.hint("merge"), "k"), "left-texts")
-        counts = frequencies(left, words)
-        steps.append(merged(table(prefix_pairs(prefixes(left, counts, words=words, percent=percent), percent), "rest"), texts, words=words, percent=percent))
-    out = labelled(signed.select("k", "n"), *steps)
-    component = F.col("c")
-    return out.select(F.col("k").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("k"), F.lit(True)).alias("kept"))
+        sets = table(shingle_sets(left.join(texts.hint("merge"), "k"), words), "sets")
+        steps.append(merged(table(prefix_pairs(prefixes(with_frequent(sets, frequent), percent), percent), "rest"), texts, words=words, percent=percent))
+    return signed, at, steps
 
 
 def drop_near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:

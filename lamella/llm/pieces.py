@@ -85,13 +85,16 @@ class Vocabulary:
                 self.prefix, self.trim, self.escape = (bool(spec.get(i, 1)) for i in (3, 4, 5))
         self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k in (NORMAL, USER)}
         self.longest = max(map(len, self.ids), default=1)
-        #: The pieces as a tree by character: under None a node has the piece and score that end there.
-        self.tree: dict = {}
+        #: The pieces as a tree by character: (what may follow, id of the piece that ends there or -1, its score).
+        self.tree: dict[str, tuple[dict, int, float]] = {}
         for p, i in self.ids.items():
-            node = self.tree
-            for ch in p:
-                node = node.setdefault(ch, {})
-            node[None] = i, len(p) * -0.1 if self.kinds[i] == USER else self.scores[i]
+            level = self.tree
+            for ch in p[:-1]:
+                level = level.setdefault(ch, ({}, -1, 0.0))[0]
+            below = level[p[-1]][0] if p[-1] in level else {}
+            level[p[-1]] = below, i, len(p) * -0.1 if self.kinds[i] == USER else self.scores[i]
+        #: Characters that are pieces themselves; any other may stand alone as unknown.
+        self.alone = {p for p in self.ids if len(p) == 1}
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == BYTE}
         self.value_of = {i: b for b, i in self.bytes.items()}
         self.unknown = next((i for i, k in enumerate(self.kinds) if k == UNKNOWN), 0)
@@ -120,7 +123,7 @@ class Vocabulary:
         Text, scores and back pointers are kept from the last certain boundary to ``longest`` characters past the
         current one. Sums run from the stream's start, so they don't depend on when ids were handed out.
         """
-        tree, longest, unknown = self.tree, self.longest, self.unknown_score
+        tree, alone, longest, unknown = self.tree, self.alone, self.longest, self.unknown_score
         # Boundaries count from the start of ``text``: best score, and (start, id) of the best piece that ends there.
         text, score, back = "", [0.0], [_ORIGIN]
         at = reached = sure = done = 0  # next to leave from, furthest reached, last that all paths share, last handed out
@@ -149,26 +152,24 @@ class Vocabulary:
                     if sure > done:
                         yield self._path(text, back, done, sure)
                         done = sure
-                here, node, stop, single = score[at], tree, at, False
+                here, node, stop = score[at], tree, at
                 for ch in text[at : at + longest]:
-                    node = node.get(ch)
-                    if node is None:
+                    found = node.get(ch)
+                    if found is None:
                         break
                     stop += 1
-                    found = node.get(None)
-                    if found is not None:
-                        piece, own = found
+                    node, piece, own = found
+                    if piece >= 0:
                         own += here
                         if own > score[stop]:
                             score[stop], back[stop] = own, (at, piece)
-                        if stop == at + 1:
-                            single = True
                         if stop > reached:
                             reached = stop
-                if not single:
+                if text[at] not in alone:
                     if here + unknown > score[at + 1]:
                         score[at + 1], back[at + 1] = here + unknown, (at, -1)
-                    reached = max(reached, at + 1)
+                    if at == reached:
+                        reached += 1
             at += 1
 
     @staticmethod

@@ -135,3 +135,30 @@ def test_densified_signatures_estimate_similarity():
 
 def test_query_matches_sql(spark):
     same(queries.op9_minhash_dedup(spark, DATA), connection(), queries.OP9_SQL)
+
+
+def test_templated_pairs_in_one_bucket_all_meet(spark, pairs=300):
+    # every text shares a long passage; own parts of two texts agree just enough, those of others fall just short
+    passage = [f"p{i}" for i in range(300)]
+    texts = {}
+    for i in range(pairs):
+        both = [f"b{i}x{j}" for j in range(22)]
+        for half in (0, 1):
+            texts[2 * i + half] = " ".join([*passage, *both, *(f"o{i}y{half}z{j}" for j in range(8))])
+    got = found(documents(spark, list(texts.values())), words=3, percent=85)
+    sets = {i: shingles(t, 3) for i, t in list(texts.items())[:4]}
+    alike = lambda a, b: 100 * len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert alike(0, 1) >= 85 > alike(0, 2)
+    assert {i: c for i, (_, c) in got.items()} == {i: i - i % 2 for i in texts}
+
+
+def test_scratch_tables_go(spark):
+    import os
+
+    from lamella.llm.common import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    out = minhash.near_duplicates(documents(spark, corpus(9)))
+    left = {n.split("-")[1] for n in set(os.listdir(folder)) - before}
+    assert left <= {"signed", "labels"} and out.count() == 96

@@ -115,7 +115,7 @@ def test_paths_that_stay_apart():
     # pieces of two characters and one of each alone: two paths go side by side until the text's end
     w = pieces.Vocabulary(b"")
     w.ids, w.scores, w.kinds, w.pieces = {"a": 0, "aa": 1}, [-1.0, -2.0], [1, 1], ["a", "aa"]
-    w.tree = {"a": {None: (0, -1.0), "a": {None: (1, -2.0)}}}
+    w.tree, w.alone = {"a": ({"a": ({}, 1, -2.0)}, 0, -1.0)}, {"a"}
     w.longest, w.prefix, w.trim, w.known = 2, False, False, pieces._Known(w)
     for n in (1, 2, 3, 99, 10_000):
         ids = w.encode("a" * n).tolist()
