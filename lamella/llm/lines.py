@@ -1,9 +1,9 @@
 """Line deduplication with DataFrame functions only.
 
 Lines become 128-bit hashes. The hashes are range-partitioned on (hash, document) and sorted by hash, document and
-position, so a very common line is spread over many partitions and each one streams over the first occurrences of
-its hashes. Only one summary row for each partition and hash meets again. What comes out is a run-length bitmap per
-document, not text.
+position, so a very common line is spread over many partitions, and each partition streams over its sorted rows and
+hands on the first occurrence in each document. Only one summary row for each partition and hash meets again: how many
+documents, and which occurrence is the first of all. What comes out is a run-length bitmap per document, not text.
 """
 
 from __future__ import annotations
@@ -45,20 +45,21 @@ def line_bitmaps(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     first occurrence (by id, then position) of each such key stays.
 
     Every row is a document of its own, also where ids repeat or are null; rows that agree in both id and text
-    count once and have one result. A null or empty text is one empty line, whose key is empty. An empty table
-    gives an empty result. Other columns are not looked at, whatever their names.
+    count once and have one result. A null or empty text is one empty line, whose key is empty. A very long text is as
+    many rows as it has lines; its bitmap is one row, of two numbers a run. An empty table gives an empty result. Other
+    columns are not looked at, whatever their names.
     """
     lines = table(line_table(docs, text, doc_id, min_chars), "lines")
     ranged = lines.repartitionByRange(partitions(docs.sparkSession), *KEY, "doc", *ROW).sortWithinPartitions(*KEY, "doc", *ROW, "pos")
-    first = ranged.groupBy(*KEY, "doc", *ROW).agg(F.min("pos").alias("pos"))  # the range partitioning serves this one
-    keys = first.groupBy(*KEY).agg(F.count("*").alias("n"), F.min(F.struct("doc", *ROW, "pos")).alias("first"))
-    keys = keys.where(F.col("n") >= min_docs)
+    # ``first`` depends on the order, so the sort stays; a struct is aggregated over the sorted stream, not in a hash table.
+    # The range partitioning serves this grouping as it is.
+    first = ranged.groupBy(*KEY, "doc", *ROW).agg(F.first(F.struct("pos")).alias("at"))
+    keys = first.groupBy(*KEY).agg(F.count("*").alias("n"), F.min(F.struct("doc", *ROW, "at.pos")).alias("first"))
     # Written, so that the join below sees two plain exchanges and AQE may split a hot key's partition.
-    keys = table(keys if keep_first else keys.select(*KEY), "keys")
+    keys = table(keys.where(F.col("n") >= min_docs).select(*KEY, "first"), "keys")
+    drop = lines.join(keys, KEY)
     if keep_first:
-        drop = lines.join(keys, KEY).where(~F.struct("doc", *ROW, "pos").eqNullSafe(F.col("first")))
-    else:
-        drop = lines.join(keys, KEY, "left_semi")
+        drop = drop.where(~F.struct("doc", *ROW, "pos").eqNullSafe(F.col("first")))
     gone = drop.groupBy(*ROW).agg(F.array_sort(F.collect_set("pos")).alias("gone"))
     runs = F.transform("gone", lambda x, i: F.array(x - F.coalesce(F.get("gone", i - 1), F.lit(-1)) - 1, F.lit(1)))
     return gone.select(*ROW, F.flatten(runs).alias("runs"))
@@ -78,8 +79,10 @@ def dropped_count(runs: Column) -> Column:
 
 
 def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, *, text: str = "text", doc_id: str = "doc_id", to: str = "runs") -> DataFrame:
-    """``docs`` with their bitmap as one more column. The bitmaps are the side that is hashed, so that whole texts
-    are moved but not sorted."""
+    """``docs`` with their bitmap in the column ``to``, which replaces one of that name. The bitmaps are the side that is
+    hashed, so that whole texts are moved but not sorted: a partition's bitmaps hold two integers for each run of lines
+    dropped in it, a small part of its texts."""
+    docs = docs.drop(to)
     inner = docs.select(F.struct(*docs.columns).alias("_doc"), *row_key(F.col(doc_id), F.col(text)))
     joined = inner.join(bitmaps.hint("shuffle_hash"), ROW, "left")
     return joined.select("_doc.*", F.col("runs").alias(to))

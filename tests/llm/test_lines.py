@@ -87,3 +87,17 @@ def test_query_matches_sql(spark):
 def test_plan_has_no_python(spark):
     plan = queries.op3_line_dedup(spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("keep_first", [False, True])
+def test_first_occurrences_stream_over_sorted_ranges(spark, monkeypatch, keep_first):
+    plans = {}
+    written = lines.table
+    monkeypatch.setattr(lines, "table", lambda df, name: (plans.update({name: df._jdf.queryExecution().executedPlan().toString()}), written(df, name))[1])
+    lines.line_bitmaps(documents(spark, ["a\nb", "a"]), min_docs=2, keep_first=keep_first)
+    steps = [x.strip(" +-:*()0123456789") for x in plans["keys"].splitlines()]
+    names = [x.split(" ")[0].split("(")[0] for x in steps]
+    at = names.index("Exchange", names.index("Exchange") + 1)  # the one below the hash exchange: by range
+    assert "rangepartitioning" in steps[at] and names[at - 1] == "Sort" and "pos" in steps[at - 1]
+    assert names[at - 2] == "SortAggregate" and "partial_first(struct(pos" in steps[at - 2]
+    assert "HashAggregate" not in names
