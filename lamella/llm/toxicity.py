@@ -1,10 +1,13 @@
 """Toxicity from two class-conditional Kneser-Ney word models.
 
-Each class has absolute-discounted bigrams that back off to its own discounted unigrams, and those back off to one
-continuation distribution that both classes share (in how many contexts of the pooled sample a word occurs), so a
-rare expression is judged by what either class has seen. A text's feature is the difference of the two
-log-likelihoods per word, taken over the window of a few words where it is largest: an insult in a long text isn't
-thinned out. A logistic curve fitted on held-back halves turns it into a score.
+Each class has bigrams with modified Kneser-Ney discounts, estimated from how many counts are one, two, three and four;
+they back off to its own discounted unigrams, and those to one continuation distribution that both classes share (in how
+many contexts of the pooled sample a word occurs), so a rare expression is judged by what either class has seen. Words
+in fewer than ``least_word`` contexts and bigrams in fewer than ``least_pair`` leave all their mass to the back-off: in a
+sample of this size what such bigrams say is noise, which the window below would pick.
+
+A text's feature is the difference of the two log-likelihoods per word, taken over the window of a few words where it is
+largest: an insult in a long text isn't thinned out. A logistic curve fitted on held-back parts turns it into a score.
 """
 
 from __future__ import annotations
@@ -97,36 +100,61 @@ def _contexts(docs: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray
     return pairs, before_pair, before_word
 
 
-def _kneser_ney(toxic: list[np.ndarray], ordinary: list[np.ndarray], vocabulary: list[str], discount: float, pair_discount: float) -> Model:
+def _discount(counts: np.ndarray) -> float:
+    """The discount of counts from three on, as modified Kneser-Ney smoothing estimates it: 3 - 4 Y n4 / n3, Y being
+    n1 / (n1 + 2 n2), from how many counts are one, two, three and four. Between 0 and 3; 1.5 without such counts."""
+    one, two, three, four = (int((counts == i).sum()) for i in (1, 2, 3, 4))
+    if not (one and three):
+        return 1.5
+    return min(max(3 - 4 * one / (one + 2 * two) * four / three, 0.0), 3.0)
+
+
+def _lost(counts: np.ndarray, least: int) -> np.ndarray:
+    """What counts give up to the back-off: a discount estimated from them, or all where they are below ``least``, which
+    is at least 3."""
+    return np.where(counts < least, counts, _discount(counts))
+
+
+def _kneser_ney(toxic: list[np.ndarray], ordinary: list[np.ndarray], vocabulary: list[str], least_word: int, least_pair: int) -> Model:
     size = len(vocabulary)
     tables = [_contexts(x, size) for x in (toxic, ordinary)]
     pooled = np.unique(np.concatenate([t[0] for t in tables]))
     contexts = np.bincount(pooled % size, minlength=size).astype(float)  # shared by both classes
-    shared = np.minimum(contexts, discount) + 0.5  # counts up to the discount: it smooths rare words, not common ones
+    shared = np.minimum(contexts, least_word) + 0.5  # counts up to the cutoff: it smooths rare words, not common ones
     shared /= shared.sum()
     word, pair, weight = [], [], []
     for pairs, n, words in tables:
-        total = max(1, words.sum())
-        lost = np.minimum(words, discount).sum() / total
-        p_word = np.maximum(words - discount, 0) / total + max(lost, 1e-6) * shared
-        before = np.bincount(pairs // size, weights=n, minlength=size)
-        gone = np.bincount(pairs // size, weights=np.minimum(n, pair_discount), minlength=size)
-        back = np.where(before > 0, np.maximum(gone, 1e-6) / np.maximum(before, 1), 1.0)
-        count = np.zeros(len(pooled))
-        count[np.searchsorted(pooled, pairs)] = n
-        context = pooled // size
-        p_pair = np.maximum(count - pair_discount, 0) / np.maximum(before[context], 1) + back[context] * p_word[pooled % size]
+        p_word, back, p_pair, known = _class_model(pairs, n, words, shared, pooled, least_word, least_pair)
         word.append(np.log(p_word))
         weight.append(np.log(back))
-        pair.append((np.log(p_pair), count > pair_discount))
-    # Only bigrams that some class has beyond the discount need an entry; any other is back-off times word.
+        pair.append((np.log(p_pair), known))
+    # Only bigrams that some class keeps need an entry; any other is back-off times word.
     own = pair[0][1] | pair[1][1]
     return Model(vocabulary, pooled[own], (pair[0][0] - pair[1][0])[own], weight[0] - weight[1], word[0] - word[1])
 
 
-def fit(texts: Sequence[str | None], toxic: Sequence[bool], *, discount: float = 2.0, pair_discount: float = 16.0, min_count: int = 2) -> Model:
+def _class_model(pairs: np.ndarray, n: np.ndarray, words: np.ndarray, shared: np.ndarray, pooled: np.ndarray, least_word: int, least_pair: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """One class's probabilities: (of each word, the back-off weight of each context, of each pooled bigram, whether the
+    class keeps that bigram). ``n`` counts the contexts of ``pairs``, ``words`` those of each word. Words and bigrams in
+    too few contexts, and the discount of the others, leave their mass to the back-off."""
+    size, total = len(words), max(1, words.sum())
+    lost = _lost(words, least_word)
+    p_word = (words - lost) / total + max(lost.sum() / total, 1e-6) * shared
+    p_word /= p_word.sum()
+    gone = _lost(n, least_pair)
+    before = np.bincount(pairs // size, weights=n, minlength=size)
+    given = np.bincount(pairs // size, weights=gone, minlength=size)
+    back = np.where(before > 0, np.maximum(given, 1e-6) / np.maximum(before, 1), 1.0)
+    left, known = np.zeros(len(pooled)), np.zeros(len(pooled), bool)
+    at, context = np.searchsorted(pooled, pairs), pooled // size
+    left[at], known[at] = n - gone, n >= least_pair
+    p_pair = left / np.maximum(before[context], 1) + back[context] * p_word[pooled % size]
+    return p_word, back, p_pair, known
+
+
+def fit(texts: Sequence[str | None], toxic: Sequence[bool], *, least_word: int = 4, least_pair: int = 12, min_count: int = 2, folds: int = 2) -> Model:
     """A model from labelled texts. Words seen fewer than ``min_count`` times are the unknown word. The curve is
-    fitted on features that each half of the texts gets from a model of the other half."""
+    fitted on features that each of ``folds`` parts of the texts gets from a model of the other parts."""
     index: dict[str, int] = {}
     docs = [np.array([index.setdefault(w, len(index) + 2) for w in words_of(t)], dtype=np.int64) for t in texts]
     seen = np.bincount(np.concatenate(docs), minlength=len(index) + 2) if docs else np.zeros(2, np.int64)
@@ -139,13 +167,13 @@ def fit(texts: Sequence[str | None], toxic: Sequence[bool], *, discount: float =
     label = np.array(toxic, dtype=bool)
 
     def model(chosen: np.ndarray) -> Model:
-        return _kneser_ney([d for d, y, c in zip(docs, label, chosen) if c and y], [d for d, y, c in zip(docs, label, chosen) if c and not y], vocabulary, discount, pair_discount)
+        return _kneser_ney([d for d, y, c in zip(docs, label, chosen) if c and y], [d for d, y, c in zip(docs, label, chosen) if c and not y], vocabulary, least_word, least_pair)
 
     own = {w: i for i, w in enumerate(vocabulary) if i > START}
-    half = np.arange(len(docs)) % 2 == 0
-    x = np.zeros(len(docs))
-    for side in (half, ~half):
-        x[~side] = model(side).features([t for t, s in zip(texts, side) if not s], own)
+    x, fold = np.zeros(len(docs)), np.arange(len(docs)) % folds
+    for part in range(folds):
+        held = fold == part
+        x[held] = model(~held).features([t for t, h in zip(texts, held) if h], own)
     out = model(np.ones(len(docs), dtype=bool))
     out.slope, out.offset = _logistic(x, label)
     return out
@@ -172,18 +200,26 @@ def remainder(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5
 
 
-def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", toxic_rows: int = 1000, ordinary_rows: int = 4000, **how) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", toxic_rows: int = 1000, ordinary_rows: int = 4000, sample_chars: int = 20_000_000, **how) -> Model:
     """Fit on labelled rows whose remainder isn't 0: of each class the ids that come first by hash, at most
-    ``toxic_rows`` and ``ordinary_rows`` of them. More ordinary rows than toxic ones tell which rare words are only
-    rare. A null label doesn't count; an id labelled both ways is toxic. Rows come to the driver,
-    whole texts, a bounded number of them."""
+    ``toxic_rows`` and ``ordinary_rows`` of them, and of these, in turn, whole texts as long as they fit into
+    ``sample_chars`` characters: that bounds what comes to the driver. More ordinary rows than toxic ones tell which rare
+    words are only rare. A null label doesn't count; an id labelled both ways is toxic."""
     named = labels.select(F.col(doc_id).alias("k"), F.col(label).alias("y")).where("k is not null and y is not null")
     known = named.where(remainder(F.col("k")) != 0).groupBy("k").agg(F.max("y").alias("y"))
     order = [F.xxhash64("k"), F.col("k")]
     picked = known.where("y = 1").orderBy(*order).limit(toxic_rows).union(known.where("y = 0").orderBy(*order).limit(ordinary_rows))
-    # At most toxic_rows + ordinary_rows rows of two numbers: small enough to broadcast whatever the input.
+    # At most toxic_rows + ordinary_rows rows of a few numbers: small enough to broadcast or collect whatever the input.
     rows = docs.select(F.col(doc_id).alias("k"), F.col(text).alias("t")).join(F.broadcast(picked), "k")
-    sample = rows.groupBy("k").agg(F.max("t").alias("t"), F.max("y").alias("y")).collect()
+    sizes = rows.groupBy("k").agg(F.max("y").alias("y"), F.max(F.coalesce(F.char_length("t"), F.lit(0))).alias("n"), F.xxhash64("k").alias("h")).collect()
+    fits, room = [], sample_chars
+    for r in sorted(sizes, key=lambda r: (r["h"], r["k"])):
+        if r["n"] <= room:
+            fits.append((r["k"], r["y"]))
+            room -= r["n"]
+    chosen = docs.sparkSession.createDataFrame(fits, picked.schema)
+    texts = docs.select(F.col(doc_id).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k")
+    sample = texts.groupBy("k").agg(F.max("t").alias("t"), F.max("y").alias("y")).collect()
     sample.sort(key=lambda r: r["k"])
     model = fit([r["t"] for r in sample], [r["y"] == 1 for r in sample], **how)
     # The sample holds the classes in other shares than all labelled rows do; the curve is moved to the real shares.
@@ -212,7 +248,7 @@ def score(text: Column, model: Model, df: DataFrame) -> Column:
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
     """Per row: the id, held_out (its remainder is 0), score, predicted (1 from 0.5 on). Null and empty texts get
-    the score of no evidence. Ids may be null or repeat: each row has its result, equal texts equal scores. Empty
+    the score of no evidence; a very long one is scored whole, in memory in proportion to its words. Ids may be null or repeat: each row has its result, equal texts equal scores. Empty
     tables give an empty result; without labels every score is 0.5. Other columns are ignored."""
     model = train(docs, labels, text=text, doc_id=doc_id, **how)
     out = docs.select(F.col(doc_id), (remainder(F.col(doc_id)) == 0).alias("held_out"), score(F.col(text), model, docs).alias("score"))
