@@ -71,6 +71,23 @@ def test_order_is_rejections_per_cost():
     assert [r.name for r in quality.cascade_order([never, dear], [])] == ["never", "dear"]
 
 
+def test_order_is_measured_on_what_is_left():
+    import time
+
+    first = quality.Rule("first", lambda d: d.n_words > 1)
+    same_again = quality.Rule("same", lambda d: time.sleep(0.0005) or d.n_words > 1)  # worth much alone, nothing behind the first
+    other = quality.Rule("other", lambda d: time.sleep(0.002) or d.n_words == 1)
+    assert [r.name for r in quality.cascade_order([same_again, other, first], ["a b"] * 20 + ["a"] * 5)] == ["first", "other", "same"]
+
+
+def test_sample_is_spread_and_bounded(spark):
+    df = documents(spark, [f"text {i}" for i in range(2000)] + ["x" * 500]).repartition(4)
+    got = quality.sample_texts(df, "text", "doc_id", 100, 100)
+    numbers = sorted(int(t.split()[1]) for t in got)
+    assert 50 < len(got) <= 200 and numbers[0] < 200 and numbers[-1] > 1800
+    assert got and sorted(got) == sorted(quality.sample_texts(df, "text", "doc_id", 100, 100))
+
+
 @pytest.mark.parametrize("turned", [False, True])
 def test_order_never_changes_the_verdict(spark, turned):
     df = documents(spark, [*ODD, "# " * 20, "good words that go on and on for a while, all of them different"])
