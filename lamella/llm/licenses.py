@@ -2,21 +2,23 @@
 
 A text becomes its words (ASCII letters lower-cased, runs of letters, digits and non-ASCII characters) joined by
 single spaces. Each signature is a regular expression over that form with a keyword that must occur before the
-expression is tried, and a priority. Where detections overlap, one that lies inside another of better priority, or
+expression is tried, and a priority; one automaton finds the keywords of all. Where detections overlap, one that lies inside another of better priority, or
 inside a longer one of the same priority, gives way.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import lru_cache
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lamella.llm import signatures as rules
 from lamella.llm.common import slices
 
 #: Phrases whose places are always counted, and their labels.
@@ -38,142 +40,33 @@ class Signature:
 TEXT, SPDX, VERSION, NAME, HINT = range(5)
 WEIGHT = {TEXT: 0.95, SPDX: 0.95, VERSION: 0.9, NAME: 0.6, HINT: 0.3}
 
-#: Wording of licence texts, notices and hints: label, keyword, pattern, priority.
-WORDING = (
-    ("mit", "permission is hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", TEXT),
-    ("mit", "substantial portions", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", TEXT),
-    ("mit-style-disclaimer", "the software is provided as is", r"the software is provided as is without warranty of any kind express or implied", HINT),
-    ("mit-0", "mit no attribution", r"mit no attribution(?: license)?", SPDX),
-    ("x11", "x11 license", r"x11 licen[sc]e", NAME),
-    ("isc", "permission to use copy modify", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", TEXT),
-    ("0bsd", "permission to use copy modify", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided", TEXT),
-    ("isc", "isc license", r"isc licen[sc]e", NAME),
-    ("bsd", "redistribution and use", r"redistribution and use in source and binary forms with or without modification are permitted", TEXT),
-    ("bsd-3-clause", "endorse or promote", r"neither the name of [^ ]+(?: [^ ]+){0,12} may be used to endorse or promote products derived from this software", TEXT),
-    ("bsd-4-clause", "advertising materials", r"all advertising materials mentioning features or use of this software must display", TEXT),
-    ("bsd", "bsd license", r"(?:the )?bsd licen[sc]e", NAME),
-    ("bsd-2-clause", "simplified bsd", r"simplified bsd(?: licen[sc]e)?", VERSION),
-    ("bsd-3-clause", "new bsd", r"new bsd(?: licen[sc]e)?", VERSION),
-    ("bsd-3-clause", "modified bsd", r"modified bsd(?: licen[sc]e)?", VERSION),
-    ("apache-2.0", "apache license", r"licensed under the apache license version 2 0", TEXT),
-    ("apache-2.0", "apache org licenses", r"(?:https? )?www apache org licenses license 2 0", SPDX),
-    ("apache", "apache software license", r"apache software licen[sc]e", NAME),
-    ("apache-2.0", "terms and conditions for use reproduction", r"apache license version 2 0 january 2004(?: [^ ]+){0,4} terms and conditions for use reproduction and distribution", TEXT),
-    ("gpl", "gnu general public", r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e", TEXT),
-    ("gpl", "gnu gpl", r"(?:the )?gnu gpl", NAME),
-    ("gpl", "take away your freedom", r"the licenses for most software are designed to take away your freedom to share and change it", TEXT),
-    ("lgpl", "lesser general public", r"(?:gnu )?lesser general public licen[sc]e", NAME),
-    ("lgpl", "library general public", r"(?:gnu )?library general public licen[sc]e", NAME),
-    ("agpl", "affero general public", r"(?:gnu )?affero general public licen[sc]e", NAME),
-    ("gfdl", "free documentation license", r"(?:gnu )?free documentation licen[sc]e", NAME),
-    ("gpl-classpath-exception", "classpath exception", r"classpath exception(?: 2 0)?", VERSION),
-    ("gpl-linking-exception", "special exception", r"as a special exception(?: [^ ]+){1,20} permission to link", HINT),
-    ("mpl", "mozilla public license", r"mozilla public licen[sc]e", NAME),
-    ("mpl-2.0", "source code form", r"this source code form is subject to the terms of the mozilla public license v 2 0", TEXT),
-    ("epl", "eclipse public license", r"eclipse public licen[sc]e", NAME),
-    ("cddl", "common development and distribution", r"common development and distribution licen[sc]e", NAME),
-    ("cpl", "common public license", r"common public licen[sc]e", NAME),
-    ("eupl", "european union public", r"european union public licen[sc]e", NAME),
-    ("osl", "open software license", r"open software licen[sc]e", NAME),
-    ("afl", "academic free license", r"academic free licen[sc]e", NAME),
-    ("artistic", "artistic license", r"artistic licen[sc]e", NAME),
-    ("zlib", "zlib license", r"zlib licen[sc]e", NAME),
-    ("zlib", "altered source versions", r"altered source versions must be plainly marked as such and must not be misrepresented", TEXT),
-    ("zlib", "held liable for any damages", r"in no event will the authors be held liable for any damages arising from the use of this software", TEXT),
-    ("boost", "boost software license", r"boost software licen[sc]e", NAME),
-    ("unlicense", "unencumbered software", r"this is free and unencumbered software released into the public domain", TEXT),
-    ("unlicense", "unlicense", r"(?:the )?unlicense", NAME),
-    ("wtfpl", "what the", r"do what the [^ ]+ you want to public license", TEXT),
-    ("wtfpl", "wtfpl", r"wtfpl", SPDX),
-    ("psf", "python software foundation", r"python software foundation licen[sc]e", NAME),
-    ("php", "php license", r"(?:the )?php licen[sc]e", NAME),
-    ("ruby", "ruby license", r"ruby licen[sc]e", NAME),
-    ("vim", "vim license", r"vim licen[sc]e", NAME),
-    ("openssl", "openssl license", r"openssl licen[sc]e", NAME),
-    ("postgresql", "postgresql license", r"postgresql licen[sc]e", NAME),
-    ("ncsa", "university of illinois", r"university of illinois ncsa open source licen[sc]e", NAME),
-    ("ofl", "sil open font", r"sil open font licen[sc]e", NAME),
-    ("odbl", "open database license", r"open database licen[sc]e", NAME),
-    ("odc-by", "open data commons attribution", r"open data commons attribution licen[sc]e", NAME),
-    ("pddl", "public domain dedication and license", r"public domain dedication and licen[sc]e", NAME),
-    ("sspl", "server side public license", r"server side public licen[sc]e", NAME),
-    ("busl", "business source license", r"business source licen[sc]e", NAME),
-    ("elastic", "elastic license", r"elastic licen[sc]e(?: 2 0)?", NAME),
-    ("commons-clause", "commons clause", r"commons clause", NAME),
-    ("mulan", "mulan", r"mulan (?:psl|permissive software licen[sc]e)", NAME),
-    ("ms-pl", "microsoft public license", r"microsoft public licen[sc]e", NAME),
-    ("ms-rl", "microsoft reciprocal license", r"microsoft reciprocal licen[sc]e", NAME),
-    ("cc0", "cc0", r"cc0(?: 1 0)?(?: universal)?", SPDX),
-    ("cc0", "publicdomain zero", r"creativecommons org publicdomain zero 1 0", SPDX),
-    ("cc", "creative commons", r"creative commons(?: licen[sc]e)?", NAME),
-    ("gpl", "gplv", r"gplv[123]", VERSION),
-    ("public-domain", "public domain", r"(?:in|into|to) the public domain", NAME),
-    ("all-rights-reserved", "all rights reserved", r"all rights reserved", HINT),
-    ("copyright", "copyright", r"copyright (?:c )?(?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2})?", HINT),
-    ("proprietary", "confidential and proprietary", r"confidential and proprietary", HINT),
-    ("spdx", "spdx license identifier", r"spdx license identifier [^ ]+", HINT),
-)
-
-#: Licence families: label, name in words, short form, versions.
-FAMILIES = (
-    ("gpl", "general public license", "gpl", ("1", "2", "3")),
-    ("lgpl", "lesser general public license", "lgpl", ("2", "2.1", "3")),
-    ("agpl", "affero general public license", "agpl", ("1", "3")),
-    ("gfdl", "free documentation license", "gfdl", ("1.1", "1.2", "1.3")),
-    ("apache", "apache license", "apache", ("1.0", "1.1", "2.0")),
-    ("mpl", "mozilla public license", "mpl", ("1.0", "1.1", "2.0")),
-    ("epl", "eclipse public license", "epl", ("1.0", "2.0")),
-    ("cddl", "common development and distribution license", "cddl", ("1.0", "1.1")),
-    ("eupl", "european union public licence", "eupl", ("1.0", "1.1", "1.2")),
-    ("osl", "open software license", "osl", ("1.0", "2.0", "2.1", "3.0")),
-    ("afl", "academic free license", "afl", ("1.1", "1.2", "2.0", "2.1", "3.0")),
-    ("artistic", "artistic license", "artistic", ("1.0", "2.0")),
-    ("boost", "boost software license", "bsl", ("1.0",)),
-    ("ofl", "sil open font license", "ofl", ("1.0", "1.1")),
-    ("odbl", "open database license", "odbl", ("1.0",)),
-    ("bsd", "bsd license", "bsd", ("2 clause", "3 clause", "4 clause")),
-)
-COMMONS = {"by": "attribution", "by sa": "attribution sharealike", "by nd": "attribution noderivatives", "by nc": "attribution noncommercial", "by nc sa": "attribution noncommercial sharealike", "by nc nd": "attribution noncommercial noderivatives"}
-COMMONS_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
-
-
-def _families() -> Iterator[Signature]:
-    """Names with a version, short forms and identifiers of every family and version."""
-    sig = lambda label, key, pattern, p: Signature(label, key, pattern, p, WEIGHT[p])
-    for label, name, short, versions in FAMILIES:
-        for v in versions:
-            own, words = f"{label}-{v.replace(' ', '-')}", v.replace(".", " ")
-            tail = words if " " in words else f"{words}(?: 0)?"
-            named = name.replace("license", "licen[sc]e").replace("licence", "licen[sc]e")
-            key = name.rsplit(" ", 1)[0]
-            yield sig(own, key, rf"{named} (?:version |v ?){tail}", VERSION)
-            yield sig(own, short, rf"{short} {tail}(?: only)?", SPDX)
-            yield sig(own, short, rf"{short} ?v{tail}", SPDX)
-            if label in ("gpl", "lgpl", "agpl", "gfdl"):
-                yield sig(f"{own}-or-later", key, rf"{named} (?:as published by the free software foundation )?(?:either )?version {tail} (?:of the license )?or (?:at your option )?any later version", TEXT)
-                yield sig(f"{own}-or-later", short, rf"{short} {tail} or later", SPDX)
-    for part, name in COMMONS.items():
-        for v in COMMONS_VERSIONS:
-            own, words = f"cc-{part.replace(' ', '-')}-{v}", v.replace(".", " ")
-            yield sig(own, "cc by", rf"cc {part} {words}", SPDX)
-            yield sig(own, "creative commons", rf"creative commons {name} {words}", VERSION)
-            yield sig(own, "creativecommons", rf"creativecommons org licenses {part} {words}", SPDX)
-
-
 @lru_cache(maxsize=1)
 def signatures() -> tuple[Signature, ...]:
     """All rules, best priority first."""
-    # A keyword is cut before "license", which patterns spell either way.
-    own = [Signature(label, key.removesuffix(" license"), p, rank, WEIGHT[rank]) for label, key, p, rank in WORDING]
-    return tuple(sorted([*own, *_families()], key=lambda s: s.priority))
+    out = []
+    for priority, group in ((TEXT, rules.TEXT), (SPDX, rules.SPDX), (VERSION, rules.VERSION), (NAME, rules.NAME), (HINT, rules.HINT)):
+        for line in group.strip().splitlines():
+            label, keyword, pattern = line.split(" | ", 2)
+            # A keyword is cut before "license", which patterns spell either way.
+            out.append(Signature(label, keyword.removesuffix(" license"), pattern.replace("~", "licen[sc]e"), priority, WEIGHT[priority]))
+    return tuple(out)
 
 
 @lru_cache(maxsize=1)
-def _by_keyword() -> dict[bytes, list[tuple[Signature, re.Pattern]]]:
-    found: dict[bytes, list] = {}
+def _prefilter() -> tuple[ahocorasick.Automaton, list[list[tuple[Signature, re.Pattern]]]]:
+    """(all keywords as one automaton that gives their numbers, the rules of each number)."""
+    numbers: dict[str, int] = {}
+    found: list[list] = []
     for s in signatures():
-        found.setdefault(s.keyword.encode(), []).append((s, re.compile(rb"(?<= )(?:" + s.pattern.encode() + rb")(?= )")))
-    return found
+        if s.keyword not in numbers:
+            numbers[s.keyword] = len(found)
+            found.append([])
+        found[numbers[s.keyword]].append((s, re.compile(rb"(?<= )(?:" + s.pattern.encode() + rb")(?= )")))
+    automaton = ahocorasick.Automaton()
+    for keyword, i in numbers.items():
+        automaton.add_word(keyword, i)
+    automaton.make_automaton()
+    return automaton, found
 
 
 def normal_form(text: str | None) -> tuple[bytes, int]:
@@ -223,10 +116,9 @@ def suppressed(found: Iterable[Detection]) -> list[Detection]:
 def scan(norm: bytes) -> list[Detection]:
     """Detections that stay, from all signatures whose keyword occurs."""
     found = []
-    for key, rules in _by_keyword().items():
-        if key not in norm:
-            continue
-        for s, pattern in rules:
+    automaton, by_keyword = _prefilter()
+    for number in sorted({i for _, i in automaton.iter(norm.decode("latin-1"))}):
+        for s, pattern in by_keyword[number]:
             at = words = 0
             for m in pattern.finditer(norm):
                 words += norm.count(b" ", at, m.start())
@@ -243,7 +135,7 @@ def licenses(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") ->
     largest start, else null), base_labels, labels (with those of the signatures), score (0 without a detection,
     towards 1 with several sure ones) and detections (label, first word, words; in order).
 
-    Null and empty texts have no words. Ids may be null or repeat: each row has its own result. An empty table gives
+    Null and empty texts have no words; a very long one is scanned whole. Ids may be null or repeat: each row has its own result. An empty table gives
     an empty one. Other columns are ignored.
     """
 

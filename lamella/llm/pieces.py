@@ -288,7 +288,10 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 def encoded(docs: DataFrame, model: str, *, text: str = "text", to: str = "ids") -> DataFrame:
-    """``docs`` with the ids of each whole text in an array column. Null and empty texts have none."""
+    """``docs`` with the ids of each whole text in the array column ``to``, which replaces one of that name. Null and empty
+    texts have an empty array. A very long text is searched as a stream; its ids are one array. Of equally good paths
+    the one whose last piece is longest is taken. Repeated rows have equal ids; an empty table stays empty; other
+    columns are kept."""
 
     @F.arrow_udf("array<int>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -300,7 +303,8 @@ def encoded(docs: DataFrame, model: str, *, text: str = "text", to: str = "ids")
 
 
 def decoded(df: DataFrame, model: str, *, ids: str = "ids", to: str = "text") -> DataFrame:
-    """``df`` with the text of each id array in a column. A null array is an empty text."""
+    """``df`` with the text of each id array in the column ``to``, which replaces one of that name. A null or empty array
+    is an empty text. Repeated rows have equal texts; an empty table stays empty; other columns are kept."""
 
     @F.arrow_udf("string")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -69,11 +69,48 @@ def test_signatures(text, labels):
 
 
 def test_keyword_gates_are_part_of_their_patterns():
-    assert len(licenses.signatures()) > 200
+    assert len(licenses.signatures()) > 250
     for s in licenses.signatures():
         assert s.keyword in re.sub(r"\(\?:[^()]*\)\?", "", s.pattern).replace("[sc]", "s"), s
 
 
+def brute_labels(text):
+    """Labels by every rule at every place, without keywords, and suppression by all pairs."""
+    words = WORDS.findall((text or "").translate(UPPER))
+    norm = " " + " ".join(words) + " "
+    found = set()
+    for s in licenses.signatures():
+        for m in re.finditer("(?<= )(?:" + s.pattern + ")(?= )", norm):
+            start = norm.count(" ", 0, m.start()) - 1
+            found.add((s.label, start, start + m.group().count(" ") + 1, s.priority, s.weight))
+    inside = lambda d, e: e[1] <= d[1] and d[2] <= e[2] and (e[3] < d[3] or (e[3] == d[3] and e[1:3] != d[1:3]))
+    kept = {d for d in found if not any(inside(d, e) for e in found)}
+    low, base = norm, set()
+    for phrase, label in (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit")):
+        base |= {label} if f" {phrase} " in low else set()
+    doubt = 1.0
+    for w in [*(d[4] for d in kept), *(0.5 for _ in base)]:
+        doubt *= 1 - w
+    return ",".join(sorted(base | {d[0] for d in kept})), 1 - doubt
+
+
+def test_labels_and_scores_against_all_rules_at_all_places(spark):
+    rng = random.Random(7)
+    lines = [re.sub(r"\(\?:[^()]*\)\??(?:\{[^}]*\})?|\[\^ \]\+|\?", " ", s.pattern).replace("[sc]", rng.choice("sc")) for s in licenses.signatures()]
+    texts = [" ".join(rng.choice(lines) for _ in range(rng.randint(1, 5))) for _ in range(250)] + lines + ["the  MIT-License", "ünï GPL v2 😀"]
+    got = {r["doc_id"]: r for r in licenses.licenses(documents(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        labels, score = brute_labels(t)
+        assert got[i]["labels"] == labels and got[i]["score"] == pytest.approx(score), t
+
+
+def test_labels_of_the_whole_table(spark):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    for r in queries.op8_license_scan(spark, DATA).collect():
+        labels, score = brute_labels(texts[r["doc_id"]])
+        assert r["labels"] == labels and r["score"] == pytest.approx(score)
+
+
 def test_suppression_against_all_pairs():
     rng = random.Random(3)
     for _ in range(300):
