@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import re
+import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
@@ -21,11 +23,15 @@ SLICE = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the context's checkpoint folder. A
-    session without one is refused: a folder of this machine's own would lose rows on a cluster."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the context's checkpoint folder. Without
+    either, a session whose executors run inside the driver (``local[...]``, as in tests) gets a temporary one; any
+    other is refused: a folder of one machine's own would lose rows on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if not found:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="lamella-")
+        spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
