@@ -33,13 +33,27 @@ def count(d: Column) -> Column:
     return F.coalesce(F.size(d["keys"]), F.lit(0))
 
 
+#: Up to so many keys a scan, which is compiled, is faster than a search, which isn't.
+SCANNED = 32
+
+
 def index_of(d: Column, key: Column) -> Column:
-    """Position of a key from 0, or -1."""
-    return F.coalesce(F.array_position(d["keys"], key) - 1, F.lit(-1)).cast("int")
+    """Position of a key from 0, or -1. Keys ascend, so a long dictionary is searched by halves."""
+    keys, n = d["keys"], F.size(d["keys"])
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.shiftright(s["low"] + s["high"], 1)
+        right = F.get(keys, middle) < key
+        return F.struct(F.when(right, middle + 1).otherwise(s["low"]).alias("low"), F.when(right, s["high"]).otherwise(middle).alias("high"))
+
+    rounds = F.sequence(F.lit(1), F.ceil(F.log2(n + 1)).cast("int"))  # low and high meet by then
+    low = F.aggregate(rounds, F.struct(F.lit(0).alias("low"), n.alias("high")), lambda s, i: F.when(s["low"] < s["high"], halve(s, i)).otherwise(s), lambda s: s["low"])
+    scanned = F.array_position(keys, key).cast("int") - 1
+    return F.coalesce(F.when(n <= SCANNED, scanned).when(F.get(keys, low) == key, low), F.lit(-1))
 
 
 def contains(d: Column, key: Column) -> Column:
-    return F.coalesce(F.array_contains(d["keys"], key), F.lit(False))
+    return index_of(d, key) >= 0
 
 
 def find(d: Column, key: Column) -> Column:

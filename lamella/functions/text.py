@@ -36,9 +36,19 @@ def floats_as_text(c: Column, single: bool = False) -> Column:
     return run(c)
 
 
+#: Characters with an escape of their own.
+_ESCAPES = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t"}
+_CONTROL = [chr(i) for i in range(32)]
+
+
 def quoted(c: Column) -> Column:
     """A JSON string: quotes, backslashes and control characters escaped, nothing else."""
-    return F.regexp_replace(F.to_json(F.array(c)), r"^\[(.*)\]$", "$1")
+    plain = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    every = plain
+    for ch in _CONTROL:
+        every = F.replace(every, F.lit(ch), F.lit(_ESCAPES.get(ch, f"\\u{ord(ch):04x}")))
+    body = F.when(F.rlike(c, F.lit("[\\x00-\\x1f]")), every).otherwise(plain)
+    return F.concat(F.lit('"'), body, F.lit('"'))
 
 
 def canonical_json(t: Type, c: Column) -> Column:
@@ -108,10 +118,6 @@ def value_json(t: Type, v: object) -> str:
     return "{" + ",".join(f'"{n}":{value_json(m.type, v[m.name])}' for n, m in stored) + "}"
 
 
-#: Characters with an escape of their own.
-_ESCAPES = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t"}
-
-
 def _json_by_schema(t: Type, c: Column) -> Column:
     @F.arrow_udf("string")
     def run(a: pa.Array) -> pa.Array:

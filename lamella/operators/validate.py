@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamella.model import Obj, Type, Union, Vec
+from lamella.tables import scratch, table
 
 
 def first_error(t: Type, c: Column) -> Column:
@@ -32,15 +33,22 @@ def first_error(t: Type, c: Column) -> Column:
 
 def depths(edges: DataFrame, *, node: str = "node", parent: str = "parent", max_depth: int = 128) -> DataFrame:
     """Depth of every node below the roots (parent null: depth 0) of an adjacency table, and its error: TooDeep beyond
-    ``max_depth`` or in a cycle, which has no root. Each level is one join of the frontier with the edges, so no group
-    is gathered; every frontier is checkpointed, so that no level is worked out twice."""
+    ``max_depth`` or in a cycle, which has no root. Of several ways to a node the shortest counts.
+
+    Roots spread downwards: a node's distance to an ancestor doubles each round, so rounds grow with the logarithm of
+    the depth. Each round is a join of written tables; no group is gathered, no level is worked out twice."""
     e = edges.select(F.col(node).alias("n"), F.col(parent).alias("p"))
-    level = e.where("p is null").select("n", F.lit(0).alias("depth")).checkpoint()
-    found, depth = level, 0
-    while depth < max_depth and not level.isEmpty():
-        depth += 1
-        level = e.join(level.select(F.col("n").alias("p")), "p").select("n", F.lit(depth).alias("depth")).checkpoint()
-        found = found.union(level)
-    reached = found.groupBy("n").agg(F.min("depth").alias("depth"))
-    out = e.select("n").distinct().join(reached, "n", "left")
+    with scratch() as kept:
+        # (n, a, d): n stands d below a; a is null where that is a root's own place above all
+        hops = table(e.select("n", F.col("p").alias("a"), F.when(F.col("p").isNull(), 0).otherwise(1).alias("d")).distinct(), "hops")
+        reach = 1
+        while reach <= max_depth:
+            upper = hops.select(F.col("n").alias("a"), F.col("a").alias("above"), F.col("d").alias("more"))
+            longer = hops.join(upper, "a").select("n", F.col("above").alias("a"), (F.col("d") + F.col("more")).alias("d"))
+            # Those that have arrived stay; of ways to one ancestor the shortest is enough.
+            hops = table(hops.where("a is null").union(longer).where(F.col("d") <= max_depth).groupBy("n", "a").agg(F.min("d").alias("d")), "hops")
+            reach *= 2
+        found = table(hops.where("a is null").groupBy("n").agg(F.min("d").alias("depth")), "depths")
+        kept.append(found)
+    out = e.select("n").distinct().join(found, "n", "left")
     return out.select(F.col("n").alias(node), "depth", F.when(F.col("depth").isNull(), F.lit("TooDeep")).alias("error"))

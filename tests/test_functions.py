@@ -1,5 +1,7 @@
 """Column functions on literal rows."""
 
+import json
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -197,3 +199,34 @@ def test_streams_decode_the_same_way(spark, tmp_path):
     q.awaitTermination(60)
     got = spark.table("decoded").collect()
     assert sorted(r["value"]["k"] for r in got if r["value"]) == [0, 1, 2] and sum(r["error"] == "TooSmall" for r in got) == 3
+
+
+def test_json_escapes_every_control_character(spark):
+    texts = ["a" + chr(i) + "b" for i in (*range(0, 40), 92, 127, 0x85, 0x2028, 0x2029)] + ['"\\\n', "", " "]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", text.quoted(F.col("t")).alias("j")).collect():
+        assert r["j"] == text.value_json(Text(), r["t"]) and json.loads(r["j"], strict=False) == r["t"]
+
+
+def test_references_tell_nulls_apart_by_place(spark):
+    rows = [("a", None, [[1], [2]]), (None, "a", [[1], [2]]), ("a", None, [[1, 2]]), ("a", None, None), ("a", None, []), ("a", None, [[1], None, [2]])]
+    df = spark.createDataFrame(rows, "x string, y string, z array<array<int>>")
+    assert pool.references(df, "x", "y", "z").distinct().count() == len(rows)
+    nested = df.select(F.struct(F.struct("x", "y").alias("in"), "z").alias("o"))
+    assert pool.references(nested, "o").distinct().count() == len(rows)
+    assert pool.references(df.union(df), "x", "y", "z").distinct().count() == len(rows)
+
+
+def test_long_dictionaries_are_searched(spark):
+    keys = [f"k{i:04d}" for i in range(0, 400, 2)]
+    df = spark.createDataFrame([(keys, list(range(200)), k) for k in ("k0000", "k0398", "k0200", "k0201", "a", "z")], "keys array<string>, values array<int>, key string")
+    got = df.select("key", dictionaries.index_of(F.struct("keys", "values"), F.col("key")).alias("i"), dictionaries.contains(F.struct("keys", "values"), F.col("key")).alias("has")).collect()
+    assert [(r["i"], r["has"]) for r in got] == [(0, True), (199, True), (100, True), (-1, False), (-1, False), (-1, False)]
+
+
+@pytest.mark.parametrize("max_depth", [0, 1, 2, 5, 6, 7, 128])
+def test_depths_of_chains_and_cycles(spark, max_depth):
+    edges = [(0, None), *((i, i - 1) for i in range(1, 10)), (9, 2), (20, 21), (21, 20), (30, 99), (40, None)]
+    got = {r["node"]: (r["depth"], r["error"]) for r in validate.depths(spark.createDataFrame(edges, "node int, parent int"), max_depth=max_depth).collect()}
+    want = {i: i for i in range(9)} | {9: 3, 40: 0}
+    assert got == {i: (want[i], None) if want.get(i, 999) <= max_depth else (None, "TooDeep") for i in (*range(10), 20, 21, 30, 40)}
