@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamella.functions import arrays, presence
-from lamella.model import Kind, Member, Obj, Scalar, Text, Vec, dictionary, fingerprint, own_fingerprint, reachable
+from lamella.model import Kind, Member, Obj, Scalar, Text, Vec, dictionary, fingerprint, own_fingerprint, reachable, spark_type
 from lamella.queries import CUSTOMER_1, CUSTOMER_2, DOUBLE, EVENT, EVENT_OLD, INT, LONG, events, kinds_by_user, long, money, order_items, query, tables
 from lamella.sources import buffers, codec
 
@@ -197,11 +197,47 @@ def sch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "root string, type string, own string, deep string")
 
 
-@query("sch8_schema_sections", "SELECT 1 :: BIGINT AS n_roots, true AS all_parse FROM region WHERE r_regionkey = 0")
+@query("sch8_schema_sections", "SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN 3 END :: BIGINT AS entries, CASE WHEN event_id % 5 <> 0 THEN CASE WHEN event_type IN ('click', 'purchase') THEN 7 ELSE 6 END END :: BIGINT AS members, CASE WHEN event_id % 5 = 0 THEN 'BadSchema' END AS error FROM events")
 def sch8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The schema section of a model parses back to as many entries as the model has types."""
-    ok = all(len(codec.schema_of(r).entries) == len(reachable(r)) for r in (ORDER, CUSTOMER_1, CUSTOMER_2, HOLDER, NAMES))
-    return tables(spark, sf_dir)("region").where("r_regionkey = 0").select(F.lit(1).cast("bigint").alias("n_roots"), F.lit(ok).alias("all_parse"))
+    """Every buffer's own schema section, parsed: the holder, the union and the one member that was written. In each fifth
+    the number of entries is put to zero."""
+    b = events(spark, sf_dir).select("event_id", buffers.encoded(HOLDER, F.struct("event_id", "u")).alias("b"))
+    broken = F.concat(F.substring("b", 1, codec.HEADER + 4), F.lit(bytes(2)), F.substring("b", codec.HEADER + 7, 2**31 - 1))
+    return b.select("event_id", buffers.schema_section(F.when(F.col("event_id") % 5 == 0, broken).otherwise(F.col("b"))).alias("s")).select("event_id", "s.*")
+
+
+@query("src6_open_member", "SELECT o_orderkey, CAST(coalesce(sum(CAST(l_quantity AS DECIMAL(18,2))), 0) AS DOUBLE) AS quantity, count(l_returnflag) AS n_flags, min(l_returnflag) AS least_flag FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+def src6_member(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single members read in place (SRC-6, PRJ-4): nothing else of a buffer is decoded."""
+    one = lambda path: buffers.member(ORDER, F.col("b"), path, codec.ReadOptions(verify=False))
+    df = order_buffers(spark, sf_dir).select(one("o_orderkey").alias("o_orderkey"), one("items.l_quantity").alias("q"), one("items.l_returnflag").alias("f"))
+    quantity = F.aggregate("q", F.lit(0).cast("decimal(28,2)"), lambda s, x: (s + F.coalesce(money(x), F.lit(0))).cast("decimal(28,2)"))
+    return df.select("o_orderkey", F.coalesce(quantity.cast("double"), F.lit(0.0)).alias("quantity"), long(F.coalesce(F.size(F.filter("f", lambda x: x.isNotNull())), F.lit(0))).alias("n_flags"), F.array_min("f").alias("least_flag"))
+
+
+LINK = Obj("Link")
+LINK.define(Member("value", LONG), Member("next", LINK))
+LINKS = 12
+
+
+@query("src4_deep_records", "SELECT p_partkey, CASE WHEN p_partkey % 12 + 1 > 8 THEN 'TooDeep' END AS error, CASE WHEN p_partkey % 12 + 1 <= 8 THEN p_partkey % 12 + 1 END :: BIGINT AS at_8, p_partkey % 12 + 1 AS at_12 FROM part")
+def src4_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of 1 to 12 records that hold each other. A column of eight levels says TooDeep of longer ones, a deeper
+    column holds them."""
+    n = F.col("p_partkey") % LINKS + 1
+    chain = F.lit(None).cast(spark_type(LINK, 1))
+    for level in range(LINKS, 0, -1):
+        chain = F.when(n >= level, F.struct(F.lit(1).cast("bigint").alias("value"), chain.alias("next")))
+    b = tables(spark, sf_dir)("part").select("p_partkey", buffers.encoded(LINK, chain).alias("b"))
+
+    def sum_of(c: Column, levels: int) -> Column:
+        total = F.lit(0).cast("bigint")
+        for _ in range(levels):
+            total, c = total + F.coalesce(c["value"], F.lit(0)), c["next"]
+        return total + F.coalesce(c["value"], F.lit(0))
+
+    d = b.select("p_partkey", buffers.decoded(LINK, F.col("b")).alias("a"), buffers.decoded(LINK, F.col("b"), depth=LINKS, strict=True)["value"].alias("z"))
+    return d.select("p_partkey", "a.error", F.when(F.col("a.error").isNull(), sum_of(F.col("a.value"), 7)).alias("at_8"), sum_of(F.col("z"), LINKS - 1).alias("at_12"))
 
 
 @query("ben1_binary_checksum")

@@ -46,7 +46,7 @@ def from_row(t: Type, v: object) -> object:
 
 
 def to_row(t: Type, kind: T.DataType, v: object) -> object:
-    """A decoded value in the shape of its Spark type; levels below the type's depth are left out."""
+    """A decoded value in the shape of its Spark type; TooDeep where the type leaves out a level that the value has."""
     if v is None or isinstance(t, Text):
         return v
     if isinstance(t, Scalar):
@@ -55,11 +55,25 @@ def to_row(t: Type, kind: T.DataType, v: object) -> object:
         return {n: to_row(f, kind[n].dataType, v[n]) for n, f in t.fields}
     if isinstance(t, Vec):
         return [to_row(t.element, kind.elementType, x) for x in v]
+    names = set(kind.names)
+    if any(x is not None and n not in names and (isinstance(t, Obj) or n != "tag") for n, x in v.items()):
+        raise codec.ReadError("TooDeep")
     if isinstance(t, Union):
         return {f.name: v["tag"] if f.name == "tag" else to_row(t.tags[t.tag_of(f.name)], f.dataType, v.get(f.name)) for f in kind.fields}
     return {f.name: to_row(t.member(f.name).type, f.dataType, v.get(f.name)) for f in kind.fields}
 
 
+def cuts(t: Type, kind: T.DataType) -> bool:
+    """Whether a record that holds itself is cut off below some level of the type."""
+    if isinstance(t, Vec):
+        return cuts(t.element, kind.elementType)
+    if isinstance(t, Union):
+        return len(kind.fields) <= len(t.members) or any(cuts(m, kind[m.name].dataType) for m in t.members)
+    if isinstance(t, Obj):
+        return len(kind.fields) < len(t.all_members) or any(cuts(m.type, kind[m.name].dataType) for m in t.all_members)
+    return False
+
+
 def relaxed(kind: T.DataType) -> T.DataType:
     """The type with everything nullable and without metadata, as Arrow results come back."""
     if isinstance(kind, T.StructType):
@@ -76,31 +90,98 @@ def encoded(root: Obj, record: Column, options: codec.WriteOptions = codec.Write
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         writer = codec.Writer(options)
         for a in batches:
-            rows = a.to_pylist()
-            if convert:
-                rows = [from_row(root, v) for v in rows]
-            yield pa.array([None if v is None else writer.write(root, v) for v in rows], pa.binary())
+            parts = []
+            for rows in _slices(a):
+                if convert:
+                    rows = [from_row(root, v) for v in rows]
+                parts.append(pa.array([None if v is None else writer.write(root, v) for v in rows], pa.binary()))
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
 
     return run(record)
 
 
-def decoded(root: Obj, buffer: Column, options: codec.ReadOptions = codec.ReadOptions(), *, strict: bool = False) -> Column:
+def decoded(root: Obj, buffer: Column, options: codec.ReadOptions = codec.ReadOptions(), *, strict: bool = False, depth: int = 8) -> Column:
     """Buffers as ``struct<value, error>``: the record in wire form, or the code of what is wrong. With ``strict`` the
-    first damaged buffer fails the query. A null buffer has neither."""
-    kind, convert = relaxed(spark_type(root)), holds_unsigned_64(root)
+    first damaged buffer fails the query. A null buffer has neither. A column's type has a fixed depth: of a model that
+    holds itself, ``depth`` levels; a buffer with more of them has the error TooDeep (``buffer_json`` reads any)."""
+    kind = relaxed(spark_type(root, depth))
+    convert = holds_unsigned_64(root) or cuts(root, kind)
     both = T.StructType([T.StructField("value", kind), T.StructField("error", T.StringType())])
 
+    def one(b: bytes) -> tuple[object, str | None]:
+        try:
+            v = codec.decode(root, b, options)
+            return to_row(root, kind, v) if convert else v, None
+        except codec.ReadError as e:
+            if strict:
+                raise
+            return None, e.code
+
     @F.arrow_udf(both)
     def run(a: pa.Array) -> pa.Array:
         from pyspark.sql.pandas.types import to_arrow_type
 
-        rows = []
+        made = to_arrow_type(both)
+        parts = []
+        for rows in _slices(a):
+            found = [(None, None) if b is None else one(b) for b in rows]
+            parts.append(pa.array([{"value": v, "error": error} for v, error in found], made))
+        return pa.concat_arrays(parts) if parts else pa.array([], made)
+
+    return run(buffer)
+
+
+#: Values that Python holds as objects at a time; Arrow batches may be larger.
+SLICE = 1024
+
+
+def _slices(a: pa.Array) -> Iterator[list]:
+    for i in range(0, len(a), SLICE):
+        yield a.slice(i, SLICE).to_pylist()
+
+
+def member(root: Obj, buffer: Column, path: str, options: codec.ReadOptions = codec.ReadOptions()) -> Column:
+    """One member of each buffer, by a dotted path of names, read in place: nothing beside it is decoded. A list on the
+    way gives a list. Null where it is absent or the buffer can't be read."""
+    names = path.split(".")
+    t = codec.path_type(root, names)
+    kind = relaxed(spark_type(t))
+
+    @F.arrow_udf(kind)
+    def run(a: pa.Array) -> pa.Array:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        made, parts = to_arrow_type(kind), []
+        for rows in _slices(a):
+            out = []
+            for b in rows:
+                try:
+                    out.append(None if b is None else to_row(t, kind, codec.read_path(root, b, names, options)))
+                except codec.ReadError:
+                    out.append(None)
+            parts.append(pa.array(out, made))
+        return pa.concat_arrays(parts) if parts else pa.array([], made)
+
+    return run(buffer)
+
+
+def schema_section(buffer: Column) -> Column:
+    """What the schema section of each buffer holds: ``struct<entries, members, error>``; BadSchema if it doesn't parse,
+    all null for a buffer without one."""
+
+    @F.arrow_udf("struct<entries:bigint,members:bigint,error:string>")
+    def run(a: pa.Array) -> pa.Array:
+        out = []
         for b in a.to_pylist():
-            v, error = (None, None) if b is None else codec.try_decode(root, b, options)
-            if strict and error:
-                raise codec.ReadError(error)
-            rows.append({"value": to_row(root, kind, v) if convert else v, "error": error})
-        return pa.array(rows, to_arrow_type(both))
+            try:
+                _, has, _ = codec.open_header(b or b"")
+                s = codec.parse_schema(b[codec.HEADER :]) if has else None
+                out.append((len(s.entries), sum(e.count for e in s.entries), None) if s else (None, None, None))
+            except codec.ReadError as e:
+                out.append((None, None, e.code if b is not None else None))
+        cols = list(zip(*out)) or [()] * 3
+        kinds = (pa.int64(), pa.int64(), pa.string())
+        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["entries", "members", "error"])
 
     return run(buffer)
 
@@ -136,10 +217,10 @@ def header(buffer: Column) -> Column:
     return F.when(F.octet_length(buffer) >= codec.HEADER, F.struct(root.alias("root"), byte(6).alias("version"), (byte(7) % 2 == 1).alias("has_schema")))
 
 
-def read_files(spark: SparkSession, path: str, root: Obj, options: codec.ReadOptions = codec.ReadOptions()) -> DataFrame:
-    """One row per file below ``path``, whose content is a buffer: path, value, error."""
+def read_files(spark: SparkSession, path: str, root: Obj, options: codec.ReadOptions = codec.ReadOptions(), *, depth: int = 8) -> DataFrame:
+    """One row per file below ``path``, whose content is a buffer: path, value, error (see ``decoded``)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", decoded(root, F.col("content"), options).alias("_d")).select("path", "_d.*")
+    return files.select("path", decoded(root, F.col("content"), options, depth=depth).alias("_d")).select("path", "_d.*")
 
 
 def write_table(df: DataFrame, root: Obj, path: str, *, key: str | None = None, options: codec.WriteOptions = codec.WriteOptions()) -> None:

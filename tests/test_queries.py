@@ -3,6 +3,7 @@
 import pytest
 
 import lamella.buffer_queries  # noqa: F401
+import lamella.format_queries  # noqa: F401
 from lamella.queries import ORACLES, QUERIES
 from tests.oracle import DATA, connection, same
 
