@@ -167,16 +167,27 @@ def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
     return texts.select("k", "c", "w", "t").mapInArrow(run, "k bigint, c bigint, w bigint, s array<bigint>")
 
 
-def with_frequent(sets: DataFrame, frequent: int) -> DataFrame:
-    """``sets`` with f: those of the row's shingles that stand in at least ``frequent`` of the sets, and in how many.
-    Counts are exact; they combine on the map side, and the rows of a hot shingle are joined with its one count."""
+#: So many frequent shingles at most (16 bytes each) are sent to every task; more of them are joined.
+FEW_FREQUENT = 1 << 18
+
+
+def with_frequent(sets: DataFrame, frequent: int) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray] | None]:
+    """Which shingles stand in at least ``frequent`` of the sets, and in how many: counts are exact and combine on the map
+    side. Up to ``FEW_FREQUENT`` of them come as (sorted shingles, counts) for all; beyond that ``sets`` has a column f of
+    each row's own ones, and the rows of a hot shingle are joined with its one count."""
     each = sets.select("k", F.explode("s").alias("x"))
     often = table(each.groupBy("x").agg(F.count("*").alias("n")).where(F.col("n") >= frequent), "frequent")
+    none = F.lit(None).cast("array<struct<x:bigint,n:bigint>>")
+    if often.count() <= FEW_FREQUENT:
+        found = often.toArrow()
+        x, n = found["x"].to_numpy().view(np.uint64), found["n"].to_numpy()
+        order = np.argsort(x)
+        return sets.withColumn("f", none), (x[order], n[order])
     marks = each.join(often.hint("merge"), "x").groupBy("k").agg(F.collect_list(F.struct("x", "n")).alias("f"))
-    return sets.join(table(marks, "marks").hint("merge"), "k", "left")
+    return sets.join(table(marks, "marks").hint("merge"), "k", "left"), None
 
 
-def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+def prefixes(sets: DataFrame, often: tuple[np.ndarray, np.ndarray] | None, percent: int) -> DataFrame:
     """Of each set's n shingles, frequent ones last, those that a link with no larger set must meet: s at place pos. With
     a larger set, or one as large, it must meet one of those that are ``indexed``."""
 
@@ -188,9 +199,12 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
                 for row in range(part.num_rows):
                     own = part.column(3)[row].values.to_numpy()
                     size, count = len(own), np.zeros(len(own), np.int64)
-                    if part.column(4)[row].is_valid:
-                        often = part.column(4)[row].values
-                        count[np.searchsorted(own.view(np.uint64), often.field("x").to_numpy().view(np.uint64))] = often.field("n").to_numpy()
+                    if often is not None and len(often[0]):
+                        place = np.minimum(np.searchsorted(often[0], own.view(np.uint64)), len(often[0]) - 1)
+                        count = np.where(often[0][place] == own.view(np.uint64), often[1][place], 0)
+                    elif part.column(4)[row].is_valid:
+                        mine = part.column(4)[row].values
+                        count[np.searchsorted(own.view(np.uint64), mine.field("x").to_numpy().view(np.uint64))] = mine.field("n").to_numpy()
                     most = size + percent * size // -100 + 1 if size else 0
                     most_indexed = size + 2 * percent * size // -(100 + percent) + 1
                     first = own[np.lexsort((own, count))[:most]]
@@ -352,7 +366,7 @@ def _search(docs: DataFrame, words: int, percent: int, bands: int, rows: int, hu
     steps = [joined]
     if not left.isEmpty():
         sets = table(shingle_sets(left.join(texts.hint("merge"), "k"), words), "sets")
-        steps.append(merged(table(prefix_pairs(prefixes(with_frequent(sets, frequent), percent), percent), "rest"), texts, words=words, percent=percent))
+        steps.append(merged(table(prefix_pairs(prefixes(*with_frequent(sets, frequent), percent), percent), "rest"), texts, words=words, percent=percent))
     return signed, at, steps
 
 

@@ -137,7 +137,9 @@ def test_query_matches_sql(spark):
     same(queries.op9_minhash_dedup(spark, DATA), connection(), queries.OP9_SQL)
 
 
-def test_templated_pairs_in_one_bucket_all_meet(spark, pairs=300):
+@pytest.mark.parametrize("few", [minhash.FEW_FREQUENT, 0])
+def test_templated_pairs_in_one_bucket_all_meet(spark, monkeypatch, few, pairs=300):
+    monkeypatch.setattr(minhash, "FEW_FREQUENT", few)
     # every text shares a long passage; own parts of two texts agree just enough, those of others fall just short
     passage = [f"p{i}" for i in range(300)]
     texts = {}
