@@ -57,6 +57,29 @@ def test_same_values(monkeypatch, sharing):
         assert codec.verify(ROOT, b) is None
 
 
+@pytest.mark.parametrize("sharing", ["none", "strings"])
+@pytest.mark.parametrize("every", [False, True])
+def test_written_alike(monkeypatch, sharing, every):
+    how = codec.WriteOptions(sharing=sharing, write_defaults=every)
+    for seed in range(24):
+        v = root(seed)
+        b, one = codec.encode(ROOT, v, how), slowly(monkeypatch, lambda v=v: codec.encode(ROOT, v, how))
+        assert codec.verify(ROOT, b, codec.ReadOptions(utf8=True)) is None
+        assert repr(codec.decode(ROOT, b)) == repr(slowly(monkeypatch, lambda one=one: codec.decode(ROOT, one)))
+        assert abs(len(b) - len(one)) <= 8 * 60  # only padding before eight-byte values may differ
+
+
+@pytest.mark.parametrize("bad", [{"n": 2**31}, {"n": 1.5}, {"n": "x"}, {"s": 5}])
+def test_wrong_values_are_refused_alike(monkeypatch, bad):
+    v = {"plain": [{"n": 1, "s": "a"}] * 20 + [bad]}
+    errors = []
+    for run in (lambda: codec.encode(ROOT, v), lambda: slowly(monkeypatch, lambda: codec.encode(ROOT, v))):
+        with pytest.raises(Exception) as e:  # noqa: PT011  whichever it is, both give the same
+            run()
+        errors.append(type(e.value))
+    assert errors[0] is errors[1]
+
+
 def test_shared_records_are_read_once():
     one = {"n": 5, "s": "same"}
     got = codec.decode(ROOT, codec.encode(ROOT, {"plain": [one] * 30}, codec.WriteOptions(sharing="all")))["plain"]
