@@ -415,3 +415,114 @@ def _damage_query(names: tuple[str, ...]) -> Callable[[SparkSession, str], DataF
 
 for _name, _subjects in _SUBJECTS.items():
     query(_name, values({n: DAMAGES[n] for n in _subjects}))(_damage_query(_subjects))
+
+
+# ---- writing into sinks, spans, picks ---------------------------------------------------------------------------
+
+SERIES = Obj("Series", (Member("key", I64, keep=True), Member("values", Vec(F64)), Member("days", Vec(I32))))
+
+
+def series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices of each customer's orders as a list: key, values, days."""
+    o = F.struct("o_orderkey", F.col("o_totalprice").cast("double").alias("price"), F.dayofyear("o_orderdate").alias("day"))
+    lists = tables(spark, sf_dir)("orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(o)).alias("o"))
+    return lists.select(F.col("o_custkey").cast("bigint").alias("key"), F.transform("o", lambda x: x["price"]).alias("values"), F.transform("o", lambda x: x["day"]).alias("days"))
+
+
+SERIES_SQL = "SELECT CAST(o_custkey AS BIGINT) AS key, count(*) AS n, CAST(max(o_totalprice) AS DOUBLE) AS most, CAST(sum(dayofyear(o_orderdate)) AS BIGINT) AS days FROM orders GROUP BY 1"
+
+
+@query("arr12_span", SERIES_SQL)
+@query("src2_into_a_sink", SERIES_SQL)
+@query("src3_reused_writer", SERIES_SQL)
+@query("src11_writer_reset", SERIES_SQL)
+@query("arr7_any_iterable", SERIES_SQL)
+def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One writer a task, reset between buffers of different options, fed with iterators, writes into the task's own sink
+    (SRC-2, SRC-3, SRC-11, ARR-7); lists of numbers are read as spans of the buffer (ARR-12)."""
+    import io
+
+    @F.arrow_udf("struct<n:bigint,most:double,days:bigint>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        writer = codec.Writer()
+        for a in batches:
+            rows = []
+            for i, v in enumerate(a.to_pylist()):
+                writer.reset(codec.WriteOptions(schema=i % 2 == 0))
+                sink = io.BytesIO()
+                size = writer.write_into(SERIES, {"key": v["key"], "values": iter(v["values"]), "days": iter(v["days"])}, sink)
+                b = sink.getvalue()
+                found, days = codec.read_span(SERIES, b, ["values"]), codec.read_span(SERIES, b, ["days"])
+                rows.append({"n": len(found) if len(b) == size else -1, "most": max(found), "days": sum(days)})
+            yield pa.array(rows, pa.struct([("n", pa.int64()), ("most", pa.float64()), ("days", pa.int64())]))
+
+    return series(spark, sf_dir).select("key", run(F.struct("key", "values", "days")).alias("s")).select("key", "s.*")
+
+
+@query("ben9_skewed_pick", "WITH t AS (SELECT (o_orderkey % 1000) / 1000.0 :: DOUBLE AS u FROM orders) SELECT least(19, CAST(floor(20 * pow(u, 2.5)) AS INTEGER)) AS skewed, CASE WHEN u * 10 < 7 THEN 0 WHEN u * 10 < 9 THEN 2 ELSE 3 END :: INTEGER AS weighted, count(*) AS n FROM t GROUP BY 1, 2")
+def ben9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Picks that favour small indexes, and picks by weights 7, 0, 2 and 1."""
+    from lamella.operators import stats
+
+    u = (F.col("o_orderkey") % 1000).cast("double") / 1000.0
+    picked = tables(spark, sf_dir)("orders").select(stats.skewed_pick(u, 20).alias("skewed"), stats.weighted_pick(u, [7, 0, 2, 1]).alias("weighted"))
+    return picked.groupBy("skewed", "weighted").agg(F.count("*").alias("n"))
+
+
+@query("ded8_read_once", "SELECT c_custkey :: BIGINT AS c_custkey, 40 :: BIGINT AS n, 1 :: BIGINT AS distinct_objects FROM customer")
+@query("ded9_texts_once", "SELECT c_custkey :: BIGINT AS c_custkey, 40 :: BIGINT AS n, 1 :: BIGINT AS distinct_objects FROM customer")
+def ded8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record or text that a shared buffer holds once is decoded once, however often it is referred to."""
+    shelf = Obj("Shelf", (Member("things", Vec(Obj("Thing", (Member("name", Text()),)))),))
+
+    @F.arrow_udf("struct<n:bigint,distinct_objects:bigint>")
+    def run(a: pa.Array) -> pa.Array:
+        rows = []
+        for name in a.to_pylist():
+            got = codec.decode(shelf, codec.encode(shelf, {"things": [{"name": name}] * 40}, codec.WriteOptions(sharing="all")))["things"]
+            rows.append({"n": len(got), "distinct_objects": max(len({id(x) for x in got}), len({id(x["name"]) for x in got}))})
+        return pa.array(rows, pa.struct([("n", pa.int64()), ("distinct_objects", pa.int64())]))
+
+    return tables(spark, sf_dir)("customer").select(F.col("c_custkey").cast("bigint").alias("c_custkey"), run(F.col("c_name")).alias("s")).select("c_custkey", "s.*")
+
+
+@query("sch7_entries", "SELECT c_custkey :: BIGINT AS c_custkey, true AS parses, true AS same_entries, true AS same_bytes FROM customer")
+@query("src13_cached_section", "SELECT c_custkey :: BIGINT AS c_custkey, true AS parses, true AS same_entries, true AS same_bytes FROM customer")
+@query("sch9_tables", "SELECT c_custkey :: BIGINT AS c_custkey, true AS parses, true AS same_entries, true AS same_bytes FROM customer")
+def sch7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each buffer's section parses to the model's own entries, and a writer that has written it before writes the same."""
+    root = Obj("Named", (Member("name", Text()), Member("point", Struct("P", (("x", F32), ("y", F32)))), Member("tags", Vec(Text())), Member("pairs", dictionary(Text(), I32))))
+
+    @F.arrow_udf("struct<parses:boolean,same_entries:boolean,same_bytes:boolean>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        writer = codec.Writer()
+        for a in batches:
+            rows = []
+            for name in a.to_pylist():
+                v = {"name": name, "tags": [name], "pairs": {name: 1}}
+                b = writer.write(root, v)
+                entries = codec.parse_schema(b[codec.HEADER :]).entries
+                rows.append({"parses": len(entries) == len(model.reachable(root)), "same_entries": repr(entries) == repr(codec.schema_of(root).entries), "same_bytes": b == codec.encode(root, v)})
+            yield pa.array(rows, pa.struct([(n, pa.bool_()) for n in ("parses", "same_entries", "same_bytes")]))
+
+    return tables(spark, sf_dir)("customer").select(F.col("c_custkey").cast("bigint").alias("c_custkey"), run(F.col("c_name")).alias("s")).select("c_custkey", "s.*")
+
+
+@query("gen4_objects", "SELECT c_custkey :: BIGINT AS c_custkey, c_name AS name, 'Hero' AS made, 3 :: BIGINT AS level, 2 :: BIGINT AS swords FROM customer")
+@query("gen9_registry", "SELECT c_custkey :: BIGINT AS c_custkey, c_name AS name, 'Hero' AS made, 3 :: BIGINT AS level, 2 :: BIGINT AS swords FROM customer")
+def gen4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects of the classes that a model came from, out of buffers whose root is looked up by name (GEN-4, GEN-9)."""
+    from lamella.sources.objects import read_object, write_object
+
+    @F.arrow_udf("struct<name:string,made:string,level:bigint,swords:bigint>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        m = classes.model_of(Hero)
+        root = model.REGISTRY.get("Hero") or model.register(m.root)
+        for a in batches:
+            rows = []
+            for name in a.to_pylist():
+                hero = read_object(root, write_object(root, Hero(name=name, items=[Sword("a"), Thing("b"), Sword("c", False)])), m.classes)
+                rows.append({"name": hero.name, "made": type(hero).__name__, "level": hero.level, "swords": sum(isinstance(x, Sword) for x in hero.items)})
+            yield pa.array(rows, pa.struct([("name", pa.string()), ("made", pa.string()), ("level", pa.int64()), ("swords", pa.int64())]))
+
+    return tables(spark, sf_dir)("customer").select(F.col("c_custkey").cast("bigint").alias("c_custkey"), run(F.col("c_name")).alias("s")).select("c_custkey", "s.*")

@@ -73,6 +73,26 @@ def picks(a: Column, indexes: list[int]) -> Column:
     return total
 
 
+def fraction(*key: Column, seed: int = 0) -> Column:
+    """A number from 0 to below 1 that the key and the seed decide: the same on every run and every machine."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *key), 11).cast("double") / float(1 << 53)
+
+
+def skewed_pick(u: Column, n: int, power: float = 2.5) -> Column:
+    """An index below n for u from 0 to 1, small ones far more often: the part of u that falls on the first k of n is
+    (k / n) ** (1 / power)."""
+    return F.least(F.lit(n - 1), F.floor(F.lit(float(n)) * F.pow(u, F.lit(power))).cast("int"))
+
+
+def weighted_pick(u: Column, weights: list[int]) -> Column:
+    """An index for u from 0 to 1, each in proportion to its weight; weights of 0 are never picked."""
+    total, out = sum(weights), F.lit(len(weights) - 1)
+    for i, w in reversed(list(enumerate(weights))):
+        below = sum(weights[: i + 1])
+        out = F.when(u * total < below, F.lit(i)).otherwise(out) if w else out
+    return out
+
+
 def gzip_size(c: Column) -> Column:
     """Bytes of a text after gzip."""
     import gzip
