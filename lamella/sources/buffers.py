@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from decimal import Decimal
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from pyspark.sql import types as T
 from lamella.functions.text import value_json
 from lamella.model import Kind, Obj, Scalar, Struct, Text, Type, Union, Vec, reachable, spark_type
 from lamella.sources import codec
+from lamella.sources.columns import Column, NotPlain
 
 
 def holds_unsigned_64(root: Obj) -> bool:
@@ -122,6 +124,14 @@ def decoded(root: Obj, buffer: Column, options: codec.ReadOptions = codec.ReadOp
         from pyspark.sql.pandas.types import to_arrow_type
 
         made = to_arrow_type(both)
+        if not cuts(root, kind):
+            try:
+                column = Column(root, a, options)
+                whole = column.read(made.field("value").type)
+            except NotPlain:
+                column = None
+            if column is not None:
+                return _joined(made, a, column.fine, whole, one)
         parts = []
         for rows in _slices(a):
             found = [(None, None) if b is None else one(b) for b in rows]
@@ -131,6 +141,21 @@ def decoded(root: Obj, buffer: Column, options: codec.ReadOptions = codec.ReadOp
     return run(buffer)
 
 
+def _joined(made: pa.DataType, a: pa.Array, fine: np.ndarray, whole: pa.Array, one: Callable) -> pa.Array:
+    """Results of a column: those read together, and the others one by one."""
+    value, error = made.field("value").type, made.field("error").type
+    if fine.all():
+        return pa.StructArray.from_arrays([whole, pa.nulls(len(a), error)], fields=list(made))
+    rest = np.flatnonzero(~fine)
+    found = [(None, None) if (b := a[i].as_py()) is None else one(b) for i in rest.tolist()]
+    both = pa.concat_arrays([whole, pa.array([v for v, _ in found], value)])
+    order = np.empty(len(a), np.int64)
+    order[fine], order[rest] = np.arange(len(whole)), len(whole) + np.arange(len(rest))
+    errors = np.full(len(a), None, object)
+    errors[rest] = [code for _, code in found]
+    return pa.StructArray.from_arrays([both.take(pa.array(order)), pa.array(errors, error)], fields=list(made))
+
+
 #: Values that Python holds as objects at a time; Arrow batches may be larger.
 SLICE = 1024
 
@@ -191,7 +216,11 @@ def checked(root: Obj, buffer: Column, options: codec.ReadOptions = codec.ReadOp
 
     @F.arrow_udf("string")
     def run(a: pa.Array) -> pa.Array:
-        return pa.array([None if b is None else codec.verify(root, b, options) for b in a.to_pylist()], pa.string())
+        out = np.full(len(a), None, object)
+        for i in np.flatnonzero(~Column(root, a, options).fine).tolist():
+            b = a[i].as_py()
+            out[i] = None if b is None else codec.verify(root, b, options)
+        return pa.array(out, pa.string())
 
     return run(buffer)
 
