@@ -59,10 +59,10 @@ BRAND_1 = Obj("Brand", (Member("name", Text()), Member("sizes", PRICES_1)))
 BRAND_2 = Obj("Brand", (Member("name", Text()), Member("sizes", PRICES_2)))
 
 
-def order_items(spark: SparkSession, sf_dir: str, fields: list[str] | None = None) -> DataFrame:
+def order_items(spark: SparkSession, sf_dir: str, fields: list[str] | None = None, *, spread: bool = False) -> DataFrame:
     """Orders with their line items as an ordered list; null for an order without any."""
     t = tables(spark, sf_dir)
-    return traverse.nest(t("orders").select("o_orderkey"), t("lineitem"), key="o_orderkey", child_key="l_orderkey", order=["l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"], fields=fields or [], to="items")
+    return traverse.nest(t("orders").select("o_orderkey"), t("lineitem"), key="o_orderkey", child_key="l_orderkey", order=["l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"], fields=fields or [], to="items", spread=spread)
 
 
 # ---- opening and projection ------------------------------------------------------------------------------------
