@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamella.llm.common import partitions, table
+from lamella.llm.common import partitions, release, table
 
 #: Rows of a bucket, and the local cosine threshold from which coordinates prune better than lengths.
 BUCKET, COORDINATE_FROM, FOCUS = 256, 0.8, 4
@@ -189,6 +189,7 @@ def top_k(
     may_reach = F.expr("bound is null or bound <= 0 or double(bound) * double(bound) <= len * reach * 1.000000001D")
     pairs = asked.join(bounds.hint("merge"), ["id", "qv"], "left").join(F.broadcast(later), "dim").where(may_reach).drop("reach", "len")
     rest = search(table(pairs, "pairs"))
+    release(rows, asked, sizes)
     ranked = first.union(rest).withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "qv").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
