@@ -93,8 +93,14 @@ def _contexts(docs: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray
     two = np.concatenate([d[:-1] * size + d[1:] for d in docs] or [none])
     first = np.concatenate([np.arange(len(d) - 1) == 0 for d in docs] or [none.astype(bool)])
     pairs, at = np.unique(two, return_inverse=True)
+    del two
     # a trigram is a bigram that follows another one of its document
-    three = np.unique((at[:-1] * len(pairs) + at[1:])[~first[1:]])
+    three = at[:-1] * len(pairs)
+    three += at[1:]
+    three = three[~first[1:]]
+    del at
+    three.sort()
+    three = three[np.concatenate([[True], three[1:] != three[:-1]])] if len(three) else three
     before_pair = np.bincount(three % max(1, len(pairs)), minlength=len(pairs))
     before_word = np.bincount(pairs % size, minlength=size)
     return pairs, before_pair, before_word
@@ -122,20 +128,19 @@ def _kneser_ney(toxic: list[np.ndarray], ordinary: list[np.ndarray], vocabulary:
     contexts = np.bincount(pooled % size, minlength=size).astype(float)  # shared by both classes
     shared = np.minimum(contexts, least_word) + 0.5  # counts up to the cutoff: it smooths rare words, not common ones
     shared /= shared.sum()
+    # Only bigrams that some class keeps need an entry; any other is back-off times word.
+    pooled = np.unique(np.concatenate([pairs[n >= least_pair] for pairs, n, _ in tables]))
     word, pair, weight = [], [], []
     for pairs, n, words in tables:
-        p_word, back, p_pair, known = _class_model(pairs, n, words, shared, pooled, least_word, least_pair)
+        p_word, back, p_pair = _class_model(pairs, n, words, shared, pooled, least_word, least_pair)
         word.append(np.log(p_word))
         weight.append(np.log(back))
-        pair.append((np.log(p_pair), known))
-    # Only bigrams that some class keeps need an entry; any other is back-off times word.
-    own = pair[0][1] | pair[1][1]
-    return Model(vocabulary, pooled[own], (pair[0][0] - pair[1][0])[own], weight[0] - weight[1], word[0] - word[1])
+        pair.append(np.log(p_pair))
+    return Model(vocabulary, pooled, pair[0] - pair[1], weight[0] - weight[1], word[0] - word[1])
 
 
-def _class_model(pairs: np.ndarray, n: np.ndarray, words: np.ndarray, shared: np.ndarray, pooled: np.ndarray, least_word: int, least_pair: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """One class's probabilities: (of each word, the back-off weight of each context, of each pooled bigram, whether the
-    class keeps that bigram). ``n`` counts the contexts of ``pairs``, ``words`` those of each word. Words and bigrams in
+def _class_model(pairs: np.ndarray, n: np.ndarray, words: np.ndarray, shared: np.ndarray, pooled: np.ndarray, least_word: int, least_pair: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One class's probabilities: (of each word, the back-off weight of each context, of each pooled bigram). ``n`` counts the contexts of ``pairs``, ``words`` those of each word. Words and bigrams in
     too few contexts, and the discount of the others, leave their mass to the back-off."""
     size, total = len(words), max(1, words.sum())
     lost = _lost(words, least_word)
@@ -145,11 +150,13 @@ def _class_model(pairs: np.ndarray, n: np.ndarray, words: np.ndarray, shared: np
     before = np.bincount(pairs // size, weights=n, minlength=size)
     given = np.bincount(pairs // size, weights=gone, minlength=size)
     back = np.where(before > 0, np.maximum(given, 1e-6) / np.maximum(before, 1), 1.0)
-    left, known = np.zeros(len(pooled)), np.zeros(len(pooled), bool)
-    at, context = np.searchsorted(pooled, pairs), pooled // size
-    left[at], known[at] = n - gone, n >= least_pair
+    left, context = np.zeros(len(pooled)), pooled // size
+    if len(pairs):
+        at = np.minimum(np.searchsorted(pairs, pooled), len(pairs) - 1)
+        seen = pairs[at] == pooled
+        left[seen] = (n - gone)[at[seen]]
     p_pair = left / np.maximum(before[context], 1) + back[context] * p_word[pooled % size]
-    return p_word, back, p_pair, known
+    return p_word, back, p_pair
 
 
 def fit(texts: Sequence[str | None], toxic: Sequence[bool], *, least_word: int = 4, least_pair: int = 12, min_count: int = 2, folds: int = 2) -> Model:
@@ -165,6 +172,7 @@ def fit(texts: Sequence[str | None], toxic: Sequence[bool], *, least_word: int =
     vocabulary = ["<unknown>", "<start>", *(names[i] for i in keep)]
     docs = [np.concatenate([[START], new[d]]) for d in docs]
     label = np.array(toxic, dtype=bool)
+    del index, names, seen, keep, new  # as large as the sample's vocabulary, most of which is left out
 
     def model(chosen: np.ndarray) -> Model:
         return _kneser_ney([d for d, y, c in zip(docs, label, chosen) if c and y], [d for d, y, c in zip(docs, label, chosen) if c and not y], vocabulary, least_word, least_pair)

@@ -105,7 +105,7 @@ def test_kneser_ney_probabilities_sum_to_one():
     pairs, n, words = toxicity._contexts(sample(), 10)
     shared = np.full(10, 0.1)
     every = np.arange(100)  # all bigrams
-    p_word, back, p_pair, _ = toxicity._class_model(pairs, n, words, shared, every, 3, 4)
+    p_word, back, p_pair = toxicity._class_model(pairs, n, words, shared, every, 3, 4)
     assert p_word.sum() == pytest.approx(1)
     for v in range(10):
         assert p_pair[10 * v : 10 * v + 10].sum() == pytest.approx(1, abs=1e-4), v
